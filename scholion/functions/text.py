@@ -47,30 +47,43 @@ def strip_chars(x: Column, chars: str) -> Column:
     return F.btrim(x, F.lit(chars))
 
 
-def singular(token: Column) -> Column:
-    """A lower-case token without its plural ending; tokens of up to three letters stay as they are."""
-    n = F.length(token)
-    stem = F.substring(token, F.lit(1), n - 2)
-    return (
-        F.when(n <= 3, token)
-        .when(token.endswith("ies") & (n >= 5) & ~token.isin(*IES_SINGULAR), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
-        .when(token.endswith("es") & (n >= 5) & _ends(stem, SIBILANTS), stem)
-        .when(token.endswith("s") & ~_ends(token, NOT_PLURAL), F.substring(token, F.lit(1), n - 1))
-        .otherwise(token)
-    )
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_S_BEFORE = "[a-hj-rtv-z0-9]"  # a last letter that makes neither ss nor us nor is
+
+
+def token_text(x: Column | str) -> Column:
+    """The tokens of a text with a space around each, so that a phrase is found by ``contains``.
+
+    Tokens are runs of ASCII letters and digits, in lower case and without plural endings: ies becomes y, es goes
+    after a sibilant, s goes unless ss, us or is; tokens of up to three letters stay. All in generated code.
+    """
+    t = F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(text(x), "[^A-Za-z0-9]+", " "))), F.lit(" "))
+    t = F.regexp_replace(t, f"(?<= )(?!(?:{'|'.join(IES_SINGULAR)}) )([a-z0-9]{{2,}})ies(?= )", "$1y")
+    # What lost its es is marked, so that its own s is not taken for an ending.
+    t = F.regexp_replace(t, f"(?<= )(?=[a-z0-9]{{3,}}es )([a-z0-9]*(?:{'|'.join(SIBILANTS)}))es(?= )", "$1_")
+    t = F.regexp_replace(t, f"(?<= )([a-z0-9]{{2,}}{_S_BEFORE})s(?= )", "$1")
+    return F.translate(t, "_", "")
 
 
 def norm_tokens(x: Column | str) -> Column:
-    """The tokens of a text: runs of ASCII letters and digits, lower case, singular."""
-    parts = F.filter(F.split(text(x), "[^A-Za-z0-9]+"), lambda t: t != "")
-    return F.transform(parts, lambda t: singular(F.lower(t)))
+    """The tokens of ``token_text`` as an array."""
+    return F.filter(F.split(token_text(x), " "), lambda t: t != "")
 
 
 def padded(tokens: Column) -> Column:
-    """Tokens as one text with a space around each, so that a phrase is found by ``contains``."""
+    """Tokens as one text with a space around each."""
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
+def joined(first: Column, *rest: Column) -> Column:
+    """Token texts one after the other."""
+    return F.concat(first, *[F.substring(r, F.lit(2), F.length(r)) for r in rest])
+
+
 def norm_tokens_py(value: str | None) -> list[str]:
     """The tokens of a configured phrase, on the driver, by the rules of ``norm_tokens``."""
     import re
@@ -93,9 +106,8 @@ def norm_tokens_py(value: str | None) -> list[str]:
 
 def unique_ci(items: Column) -> Column:
     """Squashed items without blanks, each once however its case, in order, in the spelling of its first place."""
-    clean = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), squash), lambda s: s != "")
     return F.aggregate(
-        clean,
+        F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), squash), lambda s: s != ""),
         F.array().cast("array<string>"),
         lambda got, s: F.when(F.exists(got, lambda g: F.lower(g) == F.lower(s)), got).otherwise(F.concat(got, F.array(s))),
     )
@@ -108,10 +120,12 @@ def unique_cs(items: Column) -> Column:
 
 def drop_contained(phrases: Column) -> Column:
     """Phrases whose tokens do not run inside a longer kept phrase, each once, in order."""
-    once = unique_ci(phrases)
-    keyed = F.transform(once, lambda p: F.struct(p.alias("p"), padded(norm_tokens(p)).alias("k"), F.size(norm_tokens(p)).alias("n")))
-    keyed = F.filter(keyed, lambda a: a["n"] > 0)
-    return F.transform(F.filter(keyed, lambda a: ~F.exists(keyed, lambda b: (b["n"] > a["n"]) & b["k"].contains(a["k"]))), lambda a: a["p"])
+
+    def reduce(keyed: Column) -> Column:
+        return F.transform(F.filter(keyed, lambda a: ~F.exists(keyed, lambda b: (F.length(b["k"]) > F.length(a["k"])) & (b["n"] > a["n"]) & b["k"].contains(a["k"]))), lambda a: a["p"])
+
+    keyed = F.transform(unique_ci(phrases), lambda p: let(token_text(p), lambda k: F.struct(p.alias("p"), k.alias("k"), (F.length(k) - F.length(F.replace(k, F.lit(" "), F.lit("")))).alias("n"))))
+    return let(F.filter(keyed, lambda a: F.trim(a["k"]) != ""), reduce)
 
 
 def split_override(x: Column | str) -> Column:
@@ -249,10 +263,10 @@ def profile_stem(token: Column) -> Column:
 def ngrams(tokens: Column, sizes: Sequence[int]) -> Column:
     """Distinct runs of the given sizes, as texts."""
 
-    def of(n: int) -> Column:
-        return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(t: Column, n: int) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+    return let(tokens, lambda t: F.array_distinct(F.concat(*[of(t, n) for n in sizes])))
 
 
 def host(x: Column | str) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholion.functions.text import drop_contained, norm_tokens, norm_tokens_py, padded
+from scholion.functions.text import joined, let, norm_tokens, norm_tokens_py, token_text
 
 REJECTED = -999
 
@@ -42,24 +42,48 @@ def has(tokens: Column, rules: Rules, keyword: str) -> Column:
     return out
 
 
-def matches(tokens: Column, rules: Rules, keywords: Sequence[str]) -> Column:
-    """The keywords that match, in their configured order."""
-    if not keywords:
+def covering(keywords: Sequence[str]) -> dict[str, list[str]]:
+    """For each keyword those whose tokens are more and contain its own, in a run."""
+    runs = {k: norm_tokens_py(k) for k in dict.fromkeys(keywords)}
+    pad = {k: f" {' '.join(t)} " for k, t in runs.items()}
+    return {k: [o for o in runs if len(runs[o]) > len(t) and pad[k] in pad[o]] for k, t in runs.items() if t}
+
+
+def _reduced(hits: dict[str, Column], covers: dict[str, list[str]]) -> dict[str, Column]:
+    """Hits that no hit of a covering keyword takes the place of."""
+    out = {}
+    for k, hit in hits.items():
+        for o in covers.get(k, ()):
+            if o in hits:
+                hit = hit & ~hits[o]
+        out[k] = hit
+    return out
+
+
+def _names(hits: dict[str, Column]) -> Column:
+    if not hits:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.when(has(tokens, rules, k), F.lit(k)) for k in keywords]), lambda k: k.isNotNull())
+    return F.filter(F.array(*[F.when(h, F.lit(k)) for k, h in hits.items()]), lambda k: k.isNotNull())
 
 
-def with_tokens(papers: DataFrame) -> DataFrame:
-    """The padded tokens of title, of abstract and keywords, and of the journal."""
-    keyword_text = F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")
-    return papers.withColumns(
-        {
-            "__title": padded(norm_tokens("title")),
-            "__body": padded(F.concat(norm_tokens("abstract"), norm_tokens(keyword_text))),
-            "__all": padded(F.concat(norm_tokens("title"), norm_tokens("abstract"), norm_tokens(keyword_text))),
-            "__journal": padded(norm_tokens("journal")),
-        }
-    )
+def _count(hits: dict[str, Column]) -> Column:
+    out = F.lit(0)
+    for h in hits.values():
+        out = out + h.cast("int")
+    return out
+
+
+def _any(hits) -> Column:
+    out = F.lit(False)
+    for h in hits:
+        out = out | h
+    return out
+
+
+def matches(tokens: Column, rules: Rules, keywords: Sequence[str]) -> Column:
+    """The keywords that match and are not covered by a longer match, in their configured order."""
+    covers = covering(keywords)
+    return _names(_reduced({k: has(tokens, rules, k) for k in covers}, covers))
 
 
 def score(papers: DataFrame, rules: Rules) -> DataFrame:
@@ -67,41 +91,39 @@ def score(papers: DataFrame, rules: Rules) -> DataFrame:
 
     Three points a keyword in the title, one a keyword elsewhere, and for boost terms two (or one, if there is one)
     and one more if one is in the title; boosts count only beside a keyword unless ``boost_admits``. A rejected
-    journal or a negative keyword gives -999.
+    journal or a negative keyword gives -999. Token texts are computed once a row; a filter on the result costs one
+    more pass, not one for each keyword.
     """
-    t = with_tokens(papers)
-    every = F.concat("__all", F.substring("__journal", 2, 2**30))
-    t = t.withColumn("__full", every)
-    t = t.withColumns(
-        {
-            "matched": drop_contained(matches(F.col("__all"), rules, rules.keywords)),
-            "boosted": drop_contained(matches(F.col("__full"), rules, rules.boosts)),
-            "__in_title": drop_contained(matches(F.col("__title"), rules, rules.keywords)),
-            "__in_body": matches(F.col("__body"), rules, rules.keywords),
-            "__boost_title": F.size(matches(F.col("__title"), rules, rules.boosts)),
-        }
-    )
-    t = t.withColumn("__else", drop_contained(F.filter("__in_body", lambda k: ~F.array_contains(F.col("__in_title"), k))))
-    bad_journal, negative = F.lit(False), F.lit(False)
-    for j in rules.rejected_journals:
-        bad_journal = bad_journal | has(F.col("__journal"), rules, j)
-    for n in rules.negatives:
-        negative = negative | has(F.col("__full"), rules, n)
-    base = 3 * F.size("__in_title") + F.size("__else")
-    boost = F.least(F.size("boosted"), F.lit(2)) + (F.col("__boost_title") > 0).cast("int")
-    points = base + F.when(F.lit(rules.boost_admits) | (base > 0), boost).otherwise(0)
-    veto = F.when(bad_journal, F.lit("rejected_journal")).when(negative, F.lit("rejected_negative_keyword"))
-    t = t.withColumns({"veto": veto, "points": F.when(veto.isNotNull(), F.lit(REJECTED)).otherwise(points).cast("int")})
-    return t.drop("__title", "__body", "__all", "__journal", "__full", "__in_title", "__in_body", "__boost_title", "__else")
+    words, boosts = covering(rules.keywords), covering(rules.boosts)
+
+    def judge(t: Column) -> Column:
+        every = joined(t["title"], t["body"])
+        full = joined(t["title"], t["body"], t["journal"])
+
+        def inner(s: Column) -> Column:
+            hit = lambda x, names: {k: has(x, rules, k) for k in names}
+            matched = _reduced(hit(s["every"], words), words)
+            boosted = _reduced(hit(s["full"], boosts), boosts)
+            in_title = _reduced(hit(t["title"], words), words)
+            elsewhere = _reduced({k: h & ~in_title[k] for k, h in hit(t["body"], words).items()}, words)
+            base = 3 * _count(in_title) + _count(elsewhere)
+            boost = F.least(_count(boosted), F.lit(2)) + _any(hit(t["title"], boosts).values()).cast("int")
+            veto = F.when(_any(hit(t["journal"], rules.rejected_journals).values()), F.lit("rejected_journal")).when(_any(hit(s["full"], rules.negatives).values()), F.lit("rejected_negative_keyword"))
+            total = let(base, lambda b: b + F.when(F.lit(rules.boost_admits) | (b > 0), boost).otherwise(0))
+            return F.struct(_names(matched).alias("matched"), _names(boosted).alias("boosted"), veto.alias("veto"), F.when(veto.isNotNull(), F.lit(REJECTED)).otherwise(total).cast("int").alias("points"))
+
+        return let(F.struct(every.alias("every"), full.alias("full")), inner)
+
+    keyword_text = F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")
+    body = joined(token_text("abstract"), token_text(keyword_text))
+    fields = F.struct(token_text("title").alias("title"), body.alias("body"), token_text("journal").alias("journal"))
+    t = papers.withColumn("__judged", let(fields, judge))
+    return t.withColumns({c: F.col(f"__judged.{c}") for c in ("matched", "boosted", "veto", "points")}).drop("__judged")
 
 
 def semi(papers: DataFrame, rules: Rules) -> DataFrame:
     """The papers with a keyword in title or abstract."""
-    tokens = padded(F.concat(norm_tokens("title"), norm_tokens("abstract")))
-    hit = F.lit(False)
-    for k in rules.keywords:
-        hit = hit | has(tokens, rules, k)
-    return papers.where(hit)
+    return papers.where(let(joined(token_text("title"), token_text("abstract")), lambda t: _any([has(t, rules, k) for k in rules.keywords])))
 
 
 def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phrase_col: str, sizes: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
@@ -113,5 +135,5 @@ def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phra
     from scholion.functions.text import ngrams
 
     grams = texts.select(F.col(id_col), F.explode(ngrams(norm_tokens(text_col), sizes)).alias("__gram"))
-    keyed = phrases.select(F.col(phrase_col), F.array_join(norm_tokens(phrase_col), " ").alias("__gram")).where("__gram <> ''").distinct()
+    keyed = phrases.select(F.col(phrase_col), F.trim(token_text(phrase_col)).alias("__gram")).where("__gram <> ''").distinct()
     return grams.join(keyed, "__gram").select(id_col, phrase_col).distinct()

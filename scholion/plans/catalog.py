@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "p6_found"
+from scholion.plans import nested_queries, triage_queries
 
+FLAGSHIP = "triage"
 
-def queries() -> dict:
-    from scholion.plans import nested_queries
 
-    return {**nested_queries.queries()}
+def queries() -> dict:
+    return {**triage_queries.queries(), **nested_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from scholion.plans import nested_queries
-
-    return {**nested_queries.oracle_sql()}
+    return {**triage_queries.oracle_sql(), **nested_queries.oracle_sql()}
