@@ -241,7 +241,9 @@ def map_values(values: DataFrame, value_col: str, reference: DataFrame, id_col:
 
     v = F.col(f"`{value_col}`")
     counted = values.where(v.isNotNull() & (F.trim(v) != "")).groupBy(v.alias("value")).agg(F.count("*").alias("n_rows"))
-    return counted.mapInArrow(scan, "value string, n_rows long, canonical_id int, cosine double")
+    # Few bytes but much work a value: a fixed number of partitions keeps the values from being merged into one task.
+    spread = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
+    return counted.repartition(spread).mapInArrow(scan, "value string, n_rows long, canonical_id int, cosine double")
 
 
 def map_rows(rows: DataFrame, row_id: str, value_col: str, reference: DataFrame, id_col: str, name_col: str, **options) -> DataFrame:
