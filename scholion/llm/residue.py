@@ -188,6 +188,8 @@ SLOT = re.compile(
             rf"\[\[\s*{_NAME}\s*\]\]",
             rf"@@\s*{_NAME}\s*@@",
             rf"~~\s*{_NAME}\s*~~",
+            r"##[A-Za-z][\w.\-]*##",
+            r"(?<![`\w\\}])\{\d{1,2}\}(?!`)",
             r"(?<!\w)__[A-Za-z][A-Za-z0-9.\-]*(?:_[A-Za-z0-9.\-]+)*__(?!\w)",
             r"(?<![\w%])%{1,2}[A-Za-z][\w.\-]*%{1,2}(?!\w)",
             r"%\([a-z_]+\)[sd]",
@@ -206,7 +208,7 @@ SLOT = re.compile(
         ]
     )
 )
-_SLOT_HINT = re.compile(r"\{[%\s\w{]|\[[A-Za-z\[]|<[<%A-Za-z]|@@|~~|%[%A-Za-z(]|&lt;|__|\?{3}|X[X]|xx\.x|= ?N|T(?:KTK|B[DA]\b|ODO)|FIXME")
+_SLOT_HINT = re.compile(r"\{[%\s\w{]|\[[A-Za-z\[]|<[<%A-Za-z]|@@|~~|##|%[%A-Za-z(]|&lt;|__|\?{3}|X[X]|xx\.x|= ?N|T(?:KTK|B[DA]\b|ODO)|FIXME")
 _BARE_FIELD = re.compile(r"\s*(?:%[sd]|_{3,}|\?{2,}|<MODE>|\{\}|\[\])\s*\Z")
 
 TOKEN = re.compile(r"[一-鿿]|[^\W\d_]+")

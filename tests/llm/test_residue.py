@@ -17,6 +17,8 @@ INDEX = ResidueIndex({w: 3 for w in exemplar_vocabulary()} | {"page": 400, "the"
         "%ARTICLE_SUMMARY%",
         "As shown by [AUTHOR NAME] the trend is clear.",
         "[Click here to enter text]",
+        "Results ##SECTION_9_CONTENT##",
+        "{0} of {1} donors, see {2}",
         "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.",
         "Please enable JavaScript to view this article.",
         "Sorry, the link you followed is broken. Wait 3 seconds and retry",
