@@ -113,6 +113,8 @@ class CanonicalIndex:
         self.raw = {t for _, t in entries}
         self.tokens = [words(t) for t in self.full]
         self.content = [[w for w in t if w not in STOP] for t in self.tokens]
+        self.vocabulary = {w for c in self.content for w in c if len(w) >= 4}
+        self.word_sets = [set(t) for t in self.tokens]
         self.tight = [squeeze(t) for t in self.full]
         self.bare = ["".join(c) for c in self.content]
         self.initials = ["".join(w[0] for w in c) for c in self.content]
@@ -152,7 +154,7 @@ class CanonicalIndex:
         return best
 
     def agreement(self, form: str, k: int, cosine: float = 1.0) -> float:
-        """How a form of a value agrees with an entry: 4 the same letters, 3 initials or abbreviation, 2 shortening, 1..2 misspelling, 0 none."""
+        """How a form of a value agrees with an entry: 4 the same letters, 3 initials or abbreviation, 2.2 shortening, 1..2 misspelling, 0 none."""
         tight = squeeze(form)
         if tight in (self.tight[k], self.bare[k]) or tight.removeprefix("the") == self.tight[k].removeprefix("the"):
             return 4.0
@@ -168,8 +170,11 @@ class CanonicalIndex:
         entry = self.tight[k].removeprefix("the")
         value = tight.removeprefix("the")
         if len(value) >= 0.5 * len(entry) and entry.startswith(value):
-            return 2.0 + len(value) / len(entry) / 2
+            return 2.2
         most = 1 if len(entry) < 8 else 2 if len(entry) < 16 else 4
+        # A word of the list in the place of another makes another name, however few letters differ.
+        if any(w in self.vocabulary and w not in self.word_sets[k] for w in content):
+            return 0.0
         # A name within so few edits keeps a good part of its grams.
         d = edits(value, entry, most) if cosine >= 0.25 else most + 1
         if d <= most:
@@ -208,7 +213,8 @@ class CanonicalIndex:
         if not found:
             return 0, 0.0
         ranked = sorted(((a, s, k) for k, (a, s) in found.items()), reverse=True)
-        if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < 0.05 and ranked[0][1] - ranked[1][1] < self.margin:
+        if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < 0.05 and (ranked[0][0] == 2.2 or ranked[0][1] - ranked[1][1] < self.margin):
+            # As near to one entry as to another; a shortening that two entries share means neither.
             return 0, ranked[0][1]
         a, s, k = ranked[0]
         return (self.ids[k], s) if s >= self.threshold or a >= 3 else (0, s)
