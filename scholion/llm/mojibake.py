@@ -194,11 +194,11 @@ def _single_repair(text: str) -> str:
 
 
 _HAN_RUN = re.compile("[㐀-鿿＀-￯　-〿€]+")
-_HIGH_RUN = re.compile("[¡-ÿ]{4,}")
+_HIGH_RUN = re.compile("[\u0080-\u00ff]{4,}")
 
 
 def _wide_repair(text: str) -> str:
-    """UTF-8 read as a two-byte encoding (runs of rare Han), and two-byte text read as Latin."""
+    """UTF-8 read as a two-byte encoding: runs of rare Han."""
 
     def back(m: re.Match) -> str:
         for e in ("gb18030", "big5", "shift_jis", "euc_kr"):
@@ -212,7 +212,20 @@ def _wide_repair(text: str) -> str:
 
     text = _HAN_RUN.sub(back, text) if _HAN_RUN.search(text) else text
 
+    return text
+
+
+def _han_repair(text: str) -> str:
+    """Two-byte text read as Latin: runs of high characters that are no UTF-8 as a whole but Han throughout."""
+
     def han(m: re.Match) -> str:
+        try:
+            m.group().encode("latin-1").decode("utf-8")
+            return m.group()
+        except UnicodeDecodeError:
+            pass
+        if min(m.group()) < "\u00a1":
+            return m.group()
         for e in ("gb18030", "big5", "euc_kr"):
             try:
                 out = m.group().encode("latin-1").decode(e)
@@ -232,7 +245,9 @@ def restore(passage: str, layers: int = 4) -> tuple[str, bool]:
         return passage, bad
     text, found = passage, False
     for _ in range(layers):
-        new = _utf8_repair(text)
+        new = _han_repair(text)
+        if new == text:
+            new = _utf8_repair(text)
         if new == text:
             new = _wide_repair(text)
         if new == text:
