@@ -60,7 +60,7 @@ def abstracts(records: DataFrame, id_col: str = "raw_id", payload_col: str = "pa
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """``path, stem, content, front``: Markdown notes below a folder, hidden and backup files left out, the front matter as a map."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    t = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     t = t.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
     name = F.element_at(F.split("path", "/"), -1)
     t = t.withColumn("stem", F.regexp_replace(F.url_decode(name), r"\.md$", "")).where(~F.col("path").rlike(r"/\.[^/]") & ~F.col("path").contains(".bak-"))

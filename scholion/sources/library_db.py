@@ -36,7 +36,9 @@ class _Reader(DataSourceReader):
         step = max(1, -(-(hi - lo + 1) // self.parts))
         return [_Range(s, min(s + step, hi + 1)) for s in range(lo, hi + 1, step)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range | None) -> Iterator[tuple]:
+        if partition is None:  # an empty table has no partition
+            return
         names = ", ".join(map(_quoted, self.columns))
         with _open(self.path) as db:
             yield from db.execute(f"SELECT {names} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.lo, partition.hi))

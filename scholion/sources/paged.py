@@ -62,7 +62,9 @@ class _Reader(DataSourceReader):
         total = min(int(retried(FolderClient(self.folder).total)), self.most)
         return [_Page(s, min(self.size, total - s)) for s in range(0, total, self.size)]
 
-    def read(self, partition: _Page) -> Iterator[tuple]:
+    def read(self, partition: _Page | None) -> Iterator[tuple]:
+        if partition is None:  # no page at all
+            return
         items = retried(lambda: FolderClient(self.folder).page(partition.start))
         for i, item in enumerate(items[: partition.take]):
             yield (partition.start + i, json.dumps(item, ensure_ascii=False))
