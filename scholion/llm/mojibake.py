@@ -109,14 +109,15 @@ _PLAUSIBLE = re.compile("[\u0080-\u024f\u02b0-\u036f\u0370-\u03ff\u0400-\u045f\u
 _RUSSIAN = re.compile("[а-я]{4,}")
 _SINGLE_TO_UTF8 = tuple(e for e, to in PAIRS if to == "utf-8" and e not in _WIDE)
 #: Characters that only damage leaves in a text of this kind: C1 controls, the replacement character, private use.
-_LOST = re.compile("[\x80-\x84\x86-\x9f�-]|锟斤|斤拷|ï¿½|п»ї|ï»¿|烫烫|屯屯")
+_LOST = re.compile("[\u0080-\u009f\ufffd\ue000-\uf8ff]|锟斤|斤拷|ï¿½|п»ї|ï»¿|烫烫|屯屯")
 #: A question mark where a letter was: inside a word, or before one that goes on in small letters.
-_QUESTIONED = re.compile(r"[^\W\d_]\?{1,3}[^\W\d_]|(?<![\w?/&=.:#+%])\?{1,3}(?=[a-zà-ÿ]{3})|(?<=[a-z]) \?(?=\d)")
+_QUESTIONED = re.compile(r"[^\W\d_]\?{1,3}[^\W\d_]|(?<![\w?/&=.:#+%])\?{1,3}(?=[a-zà-ÿ]{3})|(?<=[a-z]) \?(?=\d)|(?<=[a-z(]) \?{1,9} (?=[=\d]|[a-z]{2})|(?<!\S)\?{5,}(?= )")
 _URL = re.compile(r"\S*(?:https?:|www\.|[?&]\w+=)\S*")
 
 _LATIN_WORD = re.compile(r"[^\W\d_]+")
 _SIGN_IN_WORD = re.compile(r"[A-Za-z][¡¢£¤¥¦§¨©ª«¬®¯°±²³´¶¸¹º»¼½¾¿×÷ˆ˜‚„†‡•‹›€™‰∞∂∑∏π∫Ω√≈∆◊ﬁﬂı˘˙˚˝˛ˇ⁄·─-▟⌐ⁿ∙⌠⌡₧]+[a-z]")
-_SIGN_WORD = re.compile(r"(?<![\w])[¯¸ˆ˘˙˚˝˛ˇ‹›ﬁﬂÂÃÐ][a-z]|[ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ]{1,3}(?<=[a-zß-ÿ].)")
+#: Signs and letters at places that no script gives them: a sign or an opening letter before a word, a capital after a ligature.
+_ODD_PLACE = re.compile(r"(?<!\S)[¬¸ˆ˘˙˚˝˛ˇ‹›√≈][a-z]|(?<!\w)[ìëí][A-ZÀ-Þﬁﬂ‹”≈]|[ﬁﬂ][À-ÖØ-Þ]|[A-Z][√¬∂∆≈][A-Z]|(?<!\w)[ЈЃЅІЇЎҐ]\d|\d ?∞C\b")
 _UPPER_IN_WORD = re.compile(r"[a-zß-öø-ÿ][À-ÖØ-Þ](?![A-ZÀ-Þ]{2})")
 _BOX = re.compile("[─-▟⌐⌠⌡₧]")
 
@@ -137,7 +138,7 @@ def _script(c: str) -> str:
 def cost(text: str) -> int:
     """The garbling cost of a text: nought for sound text."""
     total = 3 * len(_LOST.findall(text)) + 2 * len(_BOX.findall(text))
-    total += 2 * len(_SIGN_IN_WORD.findall(text)) + 2 * len(_UPPER_IN_WORD.findall(text))
+    total += 2 * (len(_SIGN_IN_WORD.findall(text)) + len(_UPPER_IN_WORD.findall(text)) + len(_ODD_PLACE.findall(text)))
     for w in _LATIN_WORD.findall(text):
         if not w.isascii() and len({s for s in map(_script, w) if s in "LGC"}) > 1:
             total += 2 * sum(_script(c) in "GC" for c in w)
@@ -263,8 +264,8 @@ def restore(passage: str, layers: int = 4) -> tuple[str, bool]:
 
 
 #: Passages end at sentence ends and lines; a damaged passage never hides in a sound one.
-_PASSAGE = re.compile(r"[^\n]+?(?:[.!?;。！？；](?=\s)|$|\n)", re.M)
-_SUSPECT = re.compile(r"[^\x00-\x7f]|[^\W\d_]\?{1,3}[^\W\d_]|(?<![\w?])\?{1,3}[a-z]{3}| \?\d")
+_PASSAGE = re.compile(r"[^\n]+?(?:(?<![\s?(])[.!?;。！？；](?=\s)|$|\n)", re.M)
+_SUSPECT = re.compile(r"[^\x00-\x7f]|[^\W\d_]\?{1,3}[^\W\d_]|(?<![\w?])\?{1,3}[a-z]{3}| \?|\?{5}")
 
 
 def garbled(text: str | None, known: dict | None = None) -> bool:

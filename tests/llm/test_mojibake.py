@@ -57,6 +57,11 @@ def test_han_read_as_latin():
 def test_lost_bytes_are_found_but_not_restored():
     assert restore("The caf� survey") == ("The caf� survey", True)
     assert garbled("drew by Dvo?á?ek and V?n?ur")
+    assert garbled("The naïve estimate of ? = 3.21 came from a café survey")
+    assert garbled("The Greek term ??????? ?????? is retained in the glossary")
+    for bad in ("in draft scaffolds: the ìﬁÛrsnesî survey", "The names S√O JULM√O and ¬ngrela appear", "The Ј40 and Ґ3021 fees were paid", "no side effects were noted\x85", "at 21 ∞C only"):
+        assert garbled(bad), bad
+    assert not garbled("Is this so ? Yes, it is ! What ???")
     assert not garbled("Is it robust? Yes. Who knows?")
     assert not garbled("see https://x.example/a?b=c and x?")
 
