@@ -163,15 +163,21 @@ def pack(lengths: list[int], capacity: int, groups: int = 24, small: float = 1 /
     return place
 
 
-def pack_documents(documents: DataFrame, containers: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, bucket_docs: int = 20_000, groups: int = 24) -> DataFrame:
+def pack_documents(documents: DataFrame, containers: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, bucket_docs: int = 20_000, groups: int = 24, most_kinds: int = 1000) -> DataFrame:
     """Rows ``container_kind, container_id, doc_id, part_no, n_tokens``: what each container of each kind holds."""
     from scholion.session import cut
 
-    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).where("capacity > 0")
+    schema = "container_kind string, container_id string, doc_id long, part_no int, n_tokens int"
+    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).where("capacity > 0").distinct().limit(most_kinds + 1).collect()
+    if len(kinds) > most_kinds:
+        raise ValueError(f"more than {most_kinds} kinds of containers")
+    if not kinds:
+        return documents.sparkSession.createDataFrame([], schema)
     counted = cut(token_counts(documents, doc_id, text, vocabulary).where("n_tokens > 0"), "tokens")
     buckets = max(1, -(-counted.count() // bucket_docs))
     # Parts: full ones of a document beyond the capacity need no packing; its rest and all others do.
-    sized = counted.crossJoin(F.broadcast(kinds))  # a row for each kind of container; kinds are a small fixed list
+    each = F.array(*[F.struct(F.lit(k["container_kind"]).alias("container_kind"), F.lit(k["capacity"]).alias("capacity")) for k in kinds])
+    sized = counted.select("*", F.explode(each).alias("__kind")).select("doc_id", "n_tokens", "__kind.*")
     full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("int")
     parts = sized.withColumn("full", full).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity"))
     whole = (
@@ -188,7 +194,7 @@ def pack_documents(documents: DataFrame, containers: DataFrame, doc_id: str = "d
         pdf["container_id"] = [f"{b}.{c}" for b, c in zip(pdf["bucket"], at)]
         return pdf[["container_kind", "container_id", "doc_id", "part_no", "n_tokens"]]
 
-    packed = items.groupBy("container_kind", "bucket").applyInPandas(fill, "container_kind string, container_id string, doc_id long, part_no int, n_tokens int")
+    packed = items.groupBy("container_kind", "bucket").applyInPandas(fill, schema)
     return packed.unionByName(whole)
 
 
