@@ -112,39 +112,47 @@ def _knapsack(sizes: np.ndarray, price: np.ndarray, capacity: int, most: int) ->
     return column, value
 
 
-def pack(lengths: list[int], capacity: int, groups: int = 24, small: float = 1 / 7) -> list[int]:
+def pack(lengths: list[int], capacity: int, groups: int = 48, small: float = 1 / 4) -> list[int]:
     """The container, from 0, of each length (all between 1 and ``capacity``)."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     large = [i for i in order if lengths[i] > capacity * small]
     place = [-1] * len(lengths)
     room: list[int] = []
     if large:
-        k = max(1, min(groups, len(large) // 4 or 1))
+        k = min(groups, len(large))
         bounds = [round(len(large) * g / k) for g in range(k + 1)]
-        parts = [large[a:b] for a, b in zip(bounds, bounds[1:]) if b > a]
         sizes: list[int] = []
-        members: list[list[int]] = []
-        for p in parts:
-            s = lengths[p[0]]
-            if sizes and sizes[-1] == s:
-                members[-1].extend(p)
+        counts: list[int] = []
+        for first, last in zip(bounds, bounds[1:]):
+            size = lengths[large[first]]
+            if sizes and sizes[-1] == size:
+                counts[-1] += last - first
             else:
-                sizes.append(s)
-                members.append(list(p))
-        demand = np.array([len(p) for p in members], dtype=float)
-        queues = [list(reversed(p)) for p in members]  # the longest of a group last, taken first
-        for often, column in sorted(configurations(np.array(sizes), demand, capacity), key=lambda c: -c[0]):
+                sizes.append(size)
+                counts.append(last - first)
+        waiting = sorted((lengths[i], -i) for i in large)
+        for often, column in sorted(configurations(np.array(sizes), np.array(counts, dtype=float), capacity), key=lambda c: -c[0]):
+            slots = [g for g in np.flatnonzero(column) for _ in range(column[g])]
             for _ in range(int(often + 1e-6)):
-                if any(len(queues[g]) < n for g, n in enumerate(column)):
+                # The longest waiting document that a place takes; the last place takes what the actual lengths leave.
+                left, got = capacity, []
+                for n, g in enumerate(slots, 1):
+                    at = bisect_left(waiting, (min(left, left if n == len(slots) else sizes[g]) + 1, -len(lengths)))
+                    if not at:
+                        break
+                    length, i = waiting.pop(at - 1)
+                    got.append(-i)
+                    left -= length
+                if not got:
                     break
-                left = capacity
-                for g in np.flatnonzero(column):
-                    for _ in range(column[g]):
-                        i = queues[g].pop()
-                        place[i] = len(room)
-                        left -= lengths[i]
+                for i in got:
+                    place[i] = len(room)
                 room.append(left)
-    # Rests of the groups and the small lengths, longest first, where they leave the least room.
+    # What still waits and the small lengths, longest first, where they leave the least room.
+    return _best_fit(lengths, capacity, order, place, room)
+
+
+def _best_fit(lengths: list[int], capacity: int, order: list[int], place: list[int], room: list[int]) -> list[int]:
     free = sorted((r, c) for c, r in enumerate(room) if r)
     for i in order:
         if place[i] >= 0:
@@ -163,7 +171,7 @@ def pack(lengths: list[int], capacity: int, groups: int = 24, small: float = 1 /
     return place
 
 
-def pack_documents(documents: DataFrame, containers: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, bucket_docs: int = 20_000, groups: int = 24, most_kinds: int = 1000) -> DataFrame:
+def pack_documents(documents: DataFrame, containers: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, bucket_docs: int = 20_000, groups: int = 48, most_kinds: int = 1000) -> DataFrame:
     """Rows ``container_kind, container_id, doc_id, part_no, n_tokens``: what each container of each kind holds."""
     from scholion.session import cut
 
