@@ -166,7 +166,14 @@ def split_table(spark, sf):
     return sinks.split_table(_ranked(spark, sf), "batch_date")
 
 
-@query()
+_words = f"array_to_string({sql.unique_ci('list_concat(matched, boosted)')}, ', ')"
+_links = "concat_ws(' | ', CASE WHEN coalesce(url, '') <> '' THEN '[page](' || url || ')' END, CASE WHEN coalesce(pdf, '') <> '' THEN '[PDF](' || pdf || ')' END)"
+_marked = f"regexp_split_to_array(regexp_replace({sql.squash('abstract')}, '([.!?]) ', '\\1\x01', 'g'), '\x01')"
+_short = f"trim(substring(trim(array_to_string({_marked}[1:2], ' ')), 1, 420))"
+
+
+@query(_RANKED + f"""SELECT batch_date, bucket, CAST(rank AS INTEGER) AS rank, concat_ws(chr(10), '### ' || rank || '. ' || {_clean}, '- score: ' || points, CASE WHEN {_words} <> '' THEN '- keywords: ' || {_words} END,
+ CASE WHEN {_links} <> '' THEN '- links: ' || {_links} END, CASE WHEN coalesce(abstract, '') <> '' THEN '> ' || {_short} END) AS lines FROM bucketed""")
 def report(spark, sf):
     return sinks.report_lines(_ranked(spark, sf), "batch_date").select("batch_date", "bucket", "rank", "lines")
 
