@@ -91,8 +91,8 @@ def score(papers: DataFrame, rules: Rules) -> DataFrame:
 
     Three points a keyword in the title, one a keyword elsewhere, and for boost terms two (or one, if there is one)
     and one more if one is in the title; boosts count only beside a keyword unless ``boost_admits``. A rejected
-    journal or a negative keyword gives -999. Token texts are computed once a row; a filter on the result costs one
-    more pass, not one for each keyword.
+    journal or a negative keyword gives -999. Token texts are computed once a row, whatever
+    is filtered or derived later.
     """
     words, boosts = covering(rules.keywords), covering(rules.boosts)
 
@@ -117,8 +117,9 @@ def score(papers: DataFrame, rules: Rules) -> DataFrame:
     keyword_text = F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")
     body = joined(token_text("abstract"), token_text(keyword_text))
     fields = F.struct(token_text("title").alias("title"), body.alias("body"), token_text("journal").alias("journal"))
-    t = papers.withColumn("__judged", let(fields, judge))
-    return t.withColumns({c: F.col(f"__judged.{c}") for c in ("matched", "boosted", "veto", "points")}).drop("__judged")
+    # Generated, not projected: a filter on the result is not pushed below it, so the judgement is made once a row.
+    kept = [c for c in papers.columns if c not in ("matched", "boosted", "veto", "points")]
+    return papers.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(let(fields, judge))))
 
 
 def semi(papers: DataFrame, rules: Rules) -> DataFrame:

@@ -22,6 +22,12 @@ def audit(rejected: dict[str, DataFrame], details: dict[str, Column] | None = No
     return out
 
 
+def audit_column(rows: DataFrame, bucket: Column, detail: Column) -> DataFrame:
+    """The same table from one pass over rows whose bucket is an expression; rows without a bucket were kept."""
+    t = rows.withColumn("bucket", bucket).where("bucket is not null")
+    return t.select("bucket", "entry_id", text("title").alias("title"), text("source").alias("source"), text("date").alias("date"), detail.cast("string").alias("detail"))
+
+
 def write_audit(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").partitionBy("bucket").parquet(path)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scholion.functions import text as tx
 from scholion.operators import dates, evidence, library, lines, matching, merging, profile, ranking, sinks
 from scholion.plans import sql
-from scholion.session import table
+from scholion.session import spread, table
 from scholion.sources import articles
 
 RULES = matching.Rules(
@@ -73,7 +73,8 @@ WITH raw AS (
 
 
 def _scored(spark, sf) -> DataFrame:
-    return matching.score(_papers(spark, sf), RULES)
+    columns = ["entry_id", "id", "pmid", "doi", "url", "pdf", "title", "abstract", "keywords", "journal", "source", "date", "batch_date"]
+    return matching.score(spread(_papers(spark, sf).select(columns)), RULES)
 
 
 @query(_BASE + "SELECT entry_id, array_to_string(matched, ';') AS matched, array_to_string(boosted, ';') AS boosted, veto, points FROM scored")
@@ -97,7 +98,7 @@ s AS (SELECT k AS phrase, {sql.padded(sql.tokens('k'))} AS p FROM (SELECT DISTIN
 SELECT entry_id, phrase FROM t JOIN s ON contains(a, p)""")
 def phrase_pairs(spark, sf):
     phrases = _papers(spark, sf).select(F.explode("keywords").alias("phrase")).distinct()
-    return matching.pairs(_papers(spark, sf), "entry_id", "abstract", phrases, "phrase", (1, 2, 3, 4))
+    return matching.pairs(spread(_papers(spark, sf).select("entry_id", "abstract")), "entry_id", "abstract", phrases, "phrase", (1, 2, 3, 4))
 
 
 @query(f"SELECT entry_id, array_to_string({sql.unique_ci('list_concat(coalesce(matched_keywords, []), coalesce(matched_boost_keywords, []))')}, '; ') AS words FROM papers")
@@ -182,10 +183,8 @@ def report(spark, sf):
 SELECT veto AS bucket, entry_id, coalesce(title, '') AS title, CAST(points AS VARCHAR) AS detail FROM scored WHERE veto IS NOT NULL
 UNION ALL SELECT 'below_min_score', entry_id, coalesce(title, ''), CAST(points AS VARCHAR) FROM scored WHERE veto IS NULL AND points < {RULES.min_score}""")
 def filter_audit(spark, sf):
-    t = _scored(spark, sf)
-    parts = {v: t.where(F.col("veto") == v) for v in ("rejected_journal", "rejected_negative_keyword")}
-    parts["below_min_score"] = t.where(F.col("veto").isNull() & (F.col("points") < RULES.min_score))
-    return sinks.audit(parts, dict.fromkeys(parts, F.col("points"))).select("bucket", "entry_id", "title", "detail")
+    bucket = F.coalesce("veto", F.when(F.col("points") < RULES.min_score, "below_min_score"))
+    return sinks.audit_column(_scored(spark, sf), bucket, F.col("points")).select("bucket", "entry_id", "title", "detail")
 
 
 _TODAY, _KEEP = "2026-01-20", 730
@@ -373,20 +372,20 @@ d AS (SELECT term, count(*) AS docs, CAST(sum(it) AS BIGINT) AS title_docs, CAST
 
 @query(_TERMS + "SELECT * FROM d")
 def document_frequencies(spark, sf):
-    return profile.term_statistics(profile.document_terms(_papers(spark, sf), "entry_id"))
+    return profile.term_statistics(profile.document_terms(spread(_papers(spark, sf).select("entry_id", "title", "abstract", "keywords")), "entry_id"))
 
 
 @query(_TERMS + """, sc AS (SELECT *, len(string_split(term, ' ')) AS n, (2 * docs + 3 * title_docs + abstract_docs - CASE WHEN list_has_any(string_split(term, ' '), ['using', 'study']) THEN 1 ELSE 0 END) * CASE WHEN len(string_split(term, ' ')) >= 2 THEN 1.5 ELSE 1.0 END AS score FROM d)
 SELECT term, docs, CAST(score AS DOUBLE) AS score FROM sc WHERE docs >= 2 AND (n > 1 OR title_docs > 0) ORDER BY score DESC, docs DESC, title_docs DESC, abstract_docs DESC, term LIMIT 80""")
 def profile_ranking(spark, sf):
-    stats = profile.term_statistics(profile.document_terms(_papers(spark, sf), "entry_id"))
+    stats = profile.term_statistics(profile.document_terms(spread(_papers(spark, sf).select("entry_id", "title", "abstract", "keywords")), "entry_id"))
     scored = profile.score_terms(stats, penalties=("using", "study"))
     return scored.orderBy(*profile.rank_terms(scored)).limit(80).select("term", "docs", "score")
 
 
 @query()
 def profile_terms(spark, sf):
-    stats = profile.term_statistics(profile.document_terms(_papers(spark, sf), "entry_id"))
+    stats = profile.term_statistics(profile.document_terms(spread(_papers(spark, sf).select("entry_id", "title", "abstract", "keywords")), "entry_id"))
     return profile.diverse_terms(profile.score_terms(stats, penalties=("using", "study")))
 
 
@@ -454,13 +453,13 @@ def subtree_counts(spark, sf):
 
 @query()
 def article_fields(spark, sf):
-    t = articles.article_fields(table(spark, sf, "pubmed_raw"))
+    t = articles.article_fields(spread(table(spark, sf, "pubmed_raw").select("raw_id", "payload")))
     return t.select("raw_id", "pmid", "doi", "title", "journal", "date", F.size("keywords").alias("n_keywords"))
 
 
 @query()
 def article_abstracts(spark, sf):
-    return articles.abstracts(table(spark, sf, "pubmed_raw"))
+    return articles.abstracts(spread(table(spark, sf, "pubmed_raw").select("raw_id", "payload")))
 
 
 def queries() -> dict:
