@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.llm import boilerplate, canonical, history, leaks, mojibake, packing, residue, subjects
-from scholion.session import table
+from scholion.session import spread, table
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "reader_records").select("record_id", "title", "abstract", "full_text", "summary_mode"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.find_residue(table(spark, sf_dir, "reader_records"))
+    return residue.find_residue(_records(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +26,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.find_page_lines(table(spark, sf_dir, "reader_records"))
+    return boilerplate.find_page_lines(_records(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +34,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.find_garbled(table(spark, sf_dir, "reader_records"))
+    return mojibake.find_garbled(_records(spark, sf_dir))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+    return packing.pack_documents(_documents(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
 def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +46,11 @@ def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.find_leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subjects.find_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "subjects"))
+    return subjects.find_subjects(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), table(spark, sf_dir, "subjects"))
 
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +64,12 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.main_text(table(spark, sf_dir, "reader_records").select("record_id", "full_text")).select("record_id", "main_text")
+    return boilerplate.main_text(_records(spark, sf_dir).select("record_id", "full_text")).select("record_id", "main_text")
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["title", "abstract", "full_text"]
-    return mojibake.repair(table(spark, sf_dir, "reader_records").select("record_id", *fields), fields)
+    return mojibake.repair(_records(spark, sf_dir).select("record_id", *fields), fields)
 
 
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
