@@ -1,8 +1,10 @@
 """Held-out test items that leaked into documents, by greedy string tiling (problem 8).
 
 The items are few and fixed, so their seeds (runs of three words) form a broadcast index; documents are scanned
-once to count in how many of them each seed occurs, and once to be compared. Seeds that many documents hold are
-wording of the field and start no match. For a document that shares seeds with an item the longest matches are
+once to count in how many of them each seed of an item occurs elsewhere than in a long passage of that item, and
+once to be compared. Seeds that many documents hold so are wording of the field for that item and start no match,
+unless they stand in a long passage of it: the copies of a leaked item, however many, do not make it wording of the
+field. For a document that shares seeds with an item the longest matches are
 marked first, one after the other, without overlap (Karp-Rabin: the hash of a window runs along and equal windows
 are extended word by word); tiles on nearly one diagonal with a changed word between them are one passage. A
 document gives an item away if one or two passages span at least a third of the item's words, in whichever order
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +37,12 @@ def words(text: str) -> list[str]:
 
 
 class ItemIndex:
-    """The seeds of the test items with their places; ``common`` holds the seeds that start no match."""
+    """The seeds of the test items with their places; ``common`` holds the (item, seed) that start no match outside passages of ``long`` words."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = 1 / 3, passage: int = 4, gap: int = 2, max_items: int = 100_000):
+    def __init__(self, items: list[tuple[int, str]], share: float = 1 / 3, passage: int = 4, gap: int = 2, long: int = 12, max_items: int = 100_000):
         if len(items) > max_items:
             raise ValueError(f"{len(items)} test items; at most {max_items} are indexed in memory")
-        self.share, self.passage, self.gap = share, passage, gap
+        self.share, self.passage, self.gap, self.long = share, passage, gap, long
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         self.seeds: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
@@ -51,8 +53,8 @@ class ItemIndex:
             for j in range(len(ids) - SEED + 1):
                 self.seeds[tuple(ids[j : j + SEED])].append((n, j))
         self.seeds = dict(self.seeds)
-        self.numbers = {s: i for i, s in enumerate(self.seeds)}
-        self.common: set[tuple[int, int, int]] = set()
+        self.numbers = {(n, s): i for i, (n, s) in enumerate(dict.fromkeys((n, s) for s, at in self.seeds.items() for n, _ in at))}
+        self.common: set[tuple[int, tuple[int, int, int]]] = set()
 
     def ids(self, text: str) -> list[int]:
         get = self.vocabulary.get
@@ -68,27 +70,48 @@ class ItemIndex:
         found = self.found_seeds(ids)
         if not found:
             return []
-        rare = Counter(n for _, t in found if t not in self.common for n in {n for n, _ in self.seeds[t]})
-        if not rare:
-            return []
+        return [n for n, places in self.places(found).items() if self._given_away(ids, n, places)]
+
+    def places(self, found: list[tuple[int, tuple[int, int, int]]]) -> dict[int, list[tuple[int, int]]]:
+        """(place in the document, place in the item) of the seeds, for each item."""
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, t in found:
             for n, j in self.seeds[t]:
-                if n in rare:
-                    places[n].append((k, j))
-        return [n for n in rare if self._given_away(ids, n, places[n])]
+                places[n].append((k, j))
+        return places
+
+    def long_places(self, ids: list[int], n: int, seeds: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """The seeds in passages that span at least ``long`` words, longer than wording of the field."""
+        own = self.items[n][1]
+        if len(seeds) * SEED + (len(seeds) - 1) * self.gap < self.long:
+            return set()
+        whole = [p for p in self.passages(self.tiles(ids, own, seeds)) if self.span(p) >= self.long]
+        return {(k + x, j + x) for p in whole for k, j, length in p for x in range(length - SEED + 1)}
+
+    def field_seeds(self, ids: list[int]) -> set[int]:
+        """Numbers of the (item, seed) that stand in a text outside the long passages of the item."""
+        out = set()
+        for n, places in self.places(self.found_seeds(ids)).items():
+            inside = {k for k, _ in self.long_places(ids, n, places)}
+            out.update(self.numbers[n, tuple(ids[k : k + SEED])] for k, _ in places if k not in inside)
+        return out
 
     def _given_away(self, ids: list[int], n: int, seeds: list[tuple[int, int]]) -> bool:
         own = self.items[n][1]
         need = -(-len(own) * self.share // 1)
         if len(seeds) + SEED - 1 < min(need, self.passage) - self.gap * 2:
             return False
-        tiles = self.tiles(ids, own, seeds)
-        spans = sorted((s for s in self.passages(ids, own, tiles) if s >= self.passage), reverse=True)
+        dull = {(k, j) for k, j in seeds if (n, tuple(own[j : j + SEED])) in self.common}
+        if dull:
+            dull -= self.long_places(ids, n, seeds)
+            if len(dull) == len(seeds):
+                return False
+        tiles = self.tiles(ids, own, seeds, dull)
+        spans = sorted((s for s in map(self.span, self.passages(tiles)) if s >= self.passage), reverse=True)
         return bool(spans) and sum(spans[:2]) >= need
 
-    def tiles(self, ids: list[int], own: list[int], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(place in the document, place in the item, length) of the tiles, longest first, without overlap."""
+    def tiles(self, ids: list[int], own: list[int], seeds: list[tuple[int, int]], dull: Collection[tuple[int, int]] = ()) -> list[tuple[int, int, int]]:
+        """(place in the document, place in the item, length) of the tiles, longest first, without overlap; ``dull`` seeds start none."""
         starts = set(seeds)
         matches = []
         for k, j in seeds:
@@ -97,7 +120,7 @@ class ItemIndex:
             length = SEED
             while (k + length - SEED + 1, j + length - SEED + 1) in starts:
                 length += 1
-            if any(tuple(own[x : x + SEED]) not in self.common for x in range(j, j + length - SEED + 1)):
+            if any((k + x, j + x) not in dull for x in range(length - SEED + 1)):
                 matches.append((length, k, j))
         out, used_doc, used_item = [], set(), set()
         matches.sort(key=lambda m: (-m[0], m[1], m[2]))
@@ -124,21 +147,22 @@ class ItemIndex:
                     matches.sort(key=lambda m: (-m[0], m[1], m[2]))
         return out
 
-    def passages(self, ids: list[int], own: list[int], tiles: list[tuple[int, int, int]]) -> list[int]:
-        """Words of the item spanned by each passage: tiles in a row with at most ``gap`` changed words between."""
-        spans = []
-        last_k = last_j = start = None
+    def passages(self, tiles: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+        """The tiles of each passage: tiles in a row with at most ``gap`` changed words between."""
+        out: list[list[tuple[int, int, int]]] = []
+        last_k = last_j = None
         for k, j, length in sorted(tiles):
             if last_k is not None and 0 <= k - last_k <= self.gap and 0 <= j - last_j <= self.gap:
-                last_k, last_j = k + length, j + length
-                continue
-            if start is not None:
-                spans.append((start, last_j))
-            start, last_k, last_j = j, k + length, j + length
-        if start is not None:
-            spans.append((start, last_j))
-        # A changed word at either end of a passage hides up to two more words that agree; they are not counted.
-        return [b - a for a, b in spans]
+                out[-1].append((k, j, length))
+            else:
+                out.append([(k, j, length)])
+            last_k, last_j = k + length, j + length
+        return out
+
+    @staticmethod
+    def span(passage: list[tuple[int, int, int]]) -> int:
+        """Words of the item that a passage spans. A changed word at either end hides up to two more words that agree; they are not counted."""
+        return passage[-1][1] + passage[-1][2] - passage[0][1]
 
 
 def load_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", max_items: int = 100_000, **options) -> ItemIndex:
@@ -147,7 +171,7 @@ def load_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
 
 
 def mark_common(documents: DataFrame, index: ItemIndex, text: str = "text", share: float = 0.002, least: int = 5) -> ItemIndex:
-    """Counts over all documents in how many each seed occurs; those beyond ``share`` of them (and ``least``) are common."""
+    """Counts over all documents in how many each seed stands outside long passages of its item; those beyond ``share`` of them (and ``least``) are common."""
     shared = documents.sparkSession.sparkContext.broadcast(index)  # bounded by max_items
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +181,7 @@ def mark_common(documents: DataFrame, index: ItemIndex, text: str = "text", shar
             for t in b.column(0).to_pylist():
                 counts[-1] += 1
                 if t:
-                    counts.update({own.numbers[s] for _, s in own.found_seeds(own.ids(t))})
+                    counts.update(own.field_seeds(own.ids(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["seed", "n"])
 
     rows = documents.select(F.col(f"`{text}`").alias("t")).mapInArrow(scan, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()

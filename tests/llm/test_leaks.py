@@ -62,6 +62,19 @@ def test_field_wording_is_no_leak(spark):
     assert find_leaks(d, items.limit(0)).count() == 0
 
 
+def test_a_leak_in_many_documents_is_no_field_wording(spark):
+    """Verbatim copies, copies with changed words and one half, all beyond the share that makes seeds common; a phrase that
+    other items' copies hold stays wording of the field."""
+    changed = A.replace("warden", "guard").replace("hasty", "slow").replace("jars", "pots")
+    half = " ".join(A.split()[:15])
+    docs = [(i, FIELD + A) for i in range(30)] + [(i, FIELD + changed) for i in range(30, 45)] + [(i, half + " " + FIELD) for i in range(45, 55)]
+    docs += [(i, FIELD + B + " in the end") for i in range(55, 95)] + [(i, FIELD) for i in range(95, 120)]
+    short = "Depth before noon until every nurse mails thirty ledgers"  # shares eight words with A in two phrases
+    items = spark.createDataFrame([(1, A), (2, B), (3, short)], "item_id long, text string")
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert sorted(map(tuple, got.collect())) == [(i, 1) for i in range(55)] + [(i, 2) for i in range(55, 95)]
+
+
 def test_very_long_text_is_read_whole(index):
     assert index.leaks(FIELD * 8000 + A) == [0]
 
