@@ -5,7 +5,9 @@ runs in the shared folder, each row under a key that starts with the part of the
 first author's surname, and the genes and numbers of the title) and goes on with the permutation's hashes, one
 level of the tree each. A batch finds its candidates by range search: all keys with a given prefix. Prefixes are
 widened (shortened) level by level until the expected recall at the least similarity of equal titles reaches its
-target; under a root that holds few entries that is the root itself. Candidates are verified on the whole titles,
+target; under a root that holds few entries that is the root itself. Under larger roots, where cut-off and short
+titles lie far below that similarity, equal blocks of letters find every pair the verification accepts. Cut-off
+titles may have lost their genes and are compared with all titles of the surname. Candidates are verified on the whole titles,
 identifiers are matched exactly, and the runs of new batches can be merged into the forest. Sameness carries over,
 so entries end in connected components, found with a few joins on keys; no group is collected anywhere.
 
@@ -32,7 +34,7 @@ from scholion.session import cut, scratch_path
 TREES, LEVELS = 8, 4
 #: Least similarity of the shingle sets of equal titles that the range search has to find, and the share it has to find.
 LEAST_SIMILARITY, RECALL = 0.4, 0.98
-#: A root with at most so many entries is searched whole, without tree levels: then nothing is missed.
+#: A root with at most so many entries is searched whole, without tree levels or blocks.
 SMALL_ROOT = 64
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -154,6 +156,79 @@ def needed_level(trees: int = TREES, levels: int = LEVELS, similarity: float = L
     return level
 
 
+def allowed_edits(letters: int) -> int:
+    """Edits by which titles may differ, the shorter of which has so many letters."""
+    return min(10, max(2, int(letters * 0.06)))
+
+
+def _block_classes() -> list[tuple[int, int, int, int]]:
+    """(least letters, edits, blocks, letters of a block). With two edits, two of four blocks are untouched; with more, one of edits + 1."""
+    out = [(n, 2, 4, n // 4) for n in (8, 12, 16, 24, 32, 40)]
+    for edits in range(3, 11):
+        least = next(n for n in range(1, 1000) if allowed_edits(n) == edits)
+        out.append((least, edits, edits + 1, least // (edits + 1)))
+    return out
+
+
+BLOCK_CLASSES = _block_classes()
+
+
+def block_keys(letters: str, starts: bool = False) -> list[str]:
+    """Blocks of letters at the start of a title, by its length; ``starts``: also by the lengths of shorter titles, which may be its start."""
+    out = []
+    for least, edits, blocks, w in [c for c in BLOCK_CLASSES if c[0] <= len(letters)][0 if starts else -1 :]:
+        part = [letters[i * w : (i + 1) * w] for i in range(blocks)]
+        if edits == 2:
+            out += [f"{least}:{i}{j}:{part[i]}{part[j]}" for i in range(blocks) for j in range(i + 1, blocks)]
+        else:
+            out += [f"{least}:{i}:{part[i]}" for i in range(blocks)]
+    return out
+
+
+def probe_keys(letters: str, whole: bool) -> list[str]:
+    """Where a title may hold the blocks of another that agrees with it within the edits allowed.
+
+    ``whole``: of titles that are shorter by no more than the edits; else, for a cut-off title, of the starts of titles
+    and of titles that are shorter by three letters. A block moves by no more letters than there are edits before it;
+    the first block without an edit, of which no more edits than blocks precede, is among them.
+    """
+    out: set[str] = set()
+    n = len(letters)
+    for c, (least, edits, blocks, w) in enumerate(BLOCK_CLASSES):
+        if least > n:
+            break
+        if c + 1 < len(BLOCK_CLASSES) and BLOCK_CLASSES[c + 1][0] + (edits if whole else 3) <= n:
+            continue
+        if edits > 2:
+            for i in range(blocks):
+                out.update(f"{least}:{i}:{letters[at : at + w]}" for at in range(max(0, i * w - i), min(i * w + i, n - w) + 1))
+            continue
+        for i in range(blocks):
+            for s in range(-2, 3):
+                a = i * w + s
+                for j in range(i + 1, blocks):
+                    for b in range(j * w + s - 2 + abs(s), j * w + s + 3 - abs(s)):
+                        if a >= 0 and b + w <= n:
+                            out.add(f"{least}:{i}{j}:{letters[a : a + w]}{letters[b : b + w]}")
+    return sorted(out)
+
+
+def _with_blocks(df: DataFrame, probe: bool | None = None, starts: bool = False, chunk: int = 200) -> DataFrame:
+    """``__key`` for each block of ``letters``, or with ``probe`` (whole or not) for each place where one is sought."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, chunk):
+                b = whole.slice(at, chunk)
+                titles = b.column(b.schema.names.index("letters")).to_pylist()
+                keys = [block_keys(t, starts) if probe is None else probe_keys(t, probe) for t in titles]
+                rows = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64())
+                b = b.take(rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for own in keys for k in own], pa.string())], names=[*b.schema.names, "__key"])
+
+    return df.mapInArrow(scan, df.schema.simpleString()[7:-1].replace(":", " ") + ", __key string")
+
+
 def _identifiers(df: DataFrame, id_col: str = "id") -> DataFrame:
     invisible = "[\\u00AD\\u200B-\\u200F\\u2060\\uFEFF\\u00A0\\s]"
     tidy = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), invisible, ""))
@@ -231,35 +306,97 @@ def _shared_prefix(a: str, b: str) -> F.Column:
     return F.levenshtein(F.substring(F.col(a), F.lit(1), n), F.substring(F.col(b), F.lit(1), n), 8)
 
 
+_COMPARED = ("entry_id", "guard", "letters", "cut_off", "pmid", "doi")
+
+
+def _kin() -> F.Column:
+    """Surname and kind of a root, without the genes."""
+    return F.substring_index("root", "|", 1)
+
+
+def _groups(forest: DataFrame, by: str) -> DataFrame:
+    """Size of the groups in which titles have something to decide: several entries, not all of them with both identifiers."""
+    sizes = forest.groupBy(by).agg(F.count("*").alias("__n"), F.count(F.when(F.col("pmid").isNull() | F.col("doi").isNull(), 1)).alias("__open"))
+    return sizes.where("__n > 1 and __open > 0")
+
+
+def _genes(p: str = "") -> F.Column:
+    return F.filter(F.split(F.split(p + "guard", r"\|")[1], ","), lambda g: g != "")
+
+
+def _paired(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """Pairs of entries of different ids that agree in ``by`` and ``__key`` and whose identifiers cannot be compared."""
+    named = lambda df, p: df.select(by, "__key", *[F.col(c).alias(p + c) for c in _COMPARED])
+    pairs = named(a, "a_").join(named(b, "b_"), [by, "__key"]).where("a_entry_id <> b_entry_id").drop(by, "__key")
+    apart = (F.col("a_pmid").isNotNull() & F.col("b_pmid").isNotNull()) | (F.col("a_doi").isNotNull() & F.col("b_doi").isNotNull())
+    return pairs.where(~F.coalesce(apart, F.lit(False)))
+
+
+def _same_genes() -> F.Column:
+    """A gene of one title may miss in the other only where the cut-off title a ends before the gene or within it."""
+    n, mine, other = F.length("a_letters"), _genes("a_"), _genes("b_")
+    clipped = F.filter(mine, lambda g: F.col("a_letters").endswith(g) & F.exists(other, lambda h: h.startswith(g)))
+    known = F.forall(mine, lambda g: F.array_contains(other, g) | F.array_contains(clipped, g))
+    beyond = lambda h: F.position(h, "b_letters") + F.length(h) - 1 > n
+    return known & F.forall(other, lambda h: F.array_contains(mine, h) | F.exists(clipped, lambda g: h.startswith(g)) | beyond(h))
+
+
 def title_links(forest: DataFrame, query: DataFrame | None = None) -> DataFrame:
     """Pairs (first, second) of entries whose titles and surnames agree and whose identifiers cannot be compared."""
-    query = forest if query is None else query
-    sizes = forest.groupBy("root").agg(F.count("*").alias("__n"), F.count(F.when(F.col("pmid").isNull() | F.col("doi").isNull(), 1)).alias("__open"))
-    # Where every entry has both identifiers, or there is one entry only, nothing is left for titles to decide.
-    sizes = sizes.where("__n > 1 and __open > 0")
-    level = needed_level()
-
-    def keyed(df: DataFrame, p: str) -> DataFrame:
-        got = df.join(sizes, "root")
-        whole = F.array(F.lit(""))
-        deep = F.transform("keys", lambda k, i: F.concat(i.cast("string"), F.lit(":"), F.substring(k, 1, 4 * level)))
-        got = got.withColumn("__key", F.explode(F.when(F.col("__n") <= SMALL_ROOT, whole).otherwise(deep)))
-        return got.select("root", "__key", *[F.col(c).alias(p + c) for c in ("entry_id", "guard", "letters", "cut_off", "pmid", "doi")])
-
-    a, b = keyed(query, "a_"), keyed(forest, "b_")
-    pairs = a.join(b, ["root", "__key"]).where("a_entry_id <> b_entry_id")
-    apart = (F.col("a_pmid").isNotNull() & F.col("b_pmid").isNotNull()) | (F.col("a_doi").isNotNull() & F.col("b_doi").isNotNull())
-    pairs = pairs.where(~F.coalesce(apart, F.lit(False)))
-    la, lb = F.length("a_letters"), F.length("b_letters")
-    cut_pair = F.col("a_cut_off") | F.col("b_cut_off")
+    return _whole_links(forest, query).unionByName(_cut_links(forest, query)).distinct()
+
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a_entry_id", "b_entry_id").alias("first"), F.greatest("a_entry_id", "b_entry_id").alias("second"))
+
+
+def _allowed() -> F.Column:
+    return F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.least(F.length("a_letters"), F.length("b_letters")) * 0.06))).cast("int")
+
+
+def _whole_links(forest: DataFrame, query: DataFrame | None) -> DataFrame:
+    """Titles that are not cut off, under one root."""
+    level, few = needed_level(), F.col("__n") <= SMALL_ROOT
+    forest = forest.where("not cut_off")
+    sizes = _groups(forest, "root")
+    b = forest.join(sizes, "root")
+    a = b if query is None else query.where("not cut_off").join(sizes, "root")
+    deep = F.transform("keys", lambda k, i: F.concat(i.cast("string"), F.lit(":"), F.substring(k, 1, 4 * level)))
+    keyed = lambda df: df.withColumn("__key", F.explode(F.when(few, F.array(F.lit(""))).otherwise(deep))).drop("keys")
+    large = lambda df: df.where(~few).drop("keys")
+    pairs = _paired(keyed(a), keyed(b), "root").unionByName(_paired(_with_blocks(large(a)), _with_blocks(large(b), True), "root"))
+    if query is not None:
+        # Either title may be the shorter one.
+        pairs = pairs.unionByName(_paired(_with_blocks(large(a), True), _with_blocks(large(b)), "root"))
     near = F.levenshtein("a_letters", "b_letters", 12)
-    allowed = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.least(la, lb) * 0.06))).cast("int")
-    whole = ~cut_pair & (F.col("a_guard") == F.col("b_guard")) & (near >= 0) & (near <= allowed)
+    return _linked(pairs.where((F.col("a_guard") == F.col("b_guard")) & (near >= 0) & (near <= _allowed())))
+
+
+def _cut_links(forest: DataFrame, query: DataFrame | None) -> DataFrame:
+    """Pairs of which at least one title is cut off, within surname and kind.
+
+    A gene that does not end a cut-off title must be in the other title too; a title cut off before or in its first
+    gene is compared with all titles of the surname and kind.
+    """
+    few = F.col("__n") <= SMALL_ROOT
+    group = lambda gene: F.concat_ws("|", _kin(), gene)
+    lasting = F.filter(_genes(), lambda g: ~F.col("letters").endswith(g))
+    cut_off = lambda df: df.where(F.col("cut_off") & (F.length("letters") >= 16)).withColumn("group", group(F.coalesce(F.get(lasting, F.lit(0)), F.lit("")))).drop("keys")
+    every = lambda df: df.where(F.length("letters") >= 16).withColumn("group", F.explode(F.transform(F.concat(F.array(F.lit("")), _genes()), group))).drop("keys")
+    small = lambda df: df.where(few).withColumn("__key", F.lit(""))
+    large = lambda df: df.where(~few)
+    pairs = None
+    for x, y in [(forest, forest)] if query is None else [(query, forest), (forest, query)]:
+        a, b = cut_off(x), every(y)
+        sizes = _groups(every(forest).join(a.select("group").distinct(), "group", "left_semi"), "group")
+        a, b = a.join(sizes, "group"), b.join(sizes, "group")
+        got = _paired(small(a), small(b), "group").unionByName(_paired(_with_blocks(large(a), False), _with_blocks(large(b), starts=True), "group"))
+        pairs = got if pairs is None else pairs.unionByName(got)
+    la, lb = F.length("a_letters"), F.length("b_letters")
     start = _shared_prefix("a_letters", "b_letters")
     # A cut-off title has to be the shorter one, or both are cut.
-    shorter = F.when(la < lb, F.col("a_cut_off")).when(lb < la, F.col("b_cut_off")).otherwise(F.lit(True)) | (F.abs(la - lb) <= 3)
-    cut_same = cut_pair & shorter & (F.least(la, lb) >= 16) & (start >= 0) & (start <= allowed)
-    return pairs.where(whole | cut_same).select(F.least("a_entry_id", "b_entry_id").alias("first"), F.greatest("a_entry_id", "b_entry_id").alias("second")).distinct()
+    shorter = (la <= lb) | F.col("b_cut_off") | (F.abs(la - lb) <= 3)
+    return _linked(pairs.where(shorter & _same_genes() & (start >= 0) & (start <= _allowed())))
 
 
 def identifier_links(prepared: DataFrame) -> DataFrame:
@@ -319,7 +456,7 @@ class HistoryIndex:
     """All that was accepted, kept as runs under a shared folder, so that a batch is compared without reading the history again.
 
     Each batch adds one run of prepared entries, one sorted run of the forest and one of the links found. A batch
-    reads of the older runs what shares an identifier or a root with it; ``compact`` merges the runs into one.
+    reads of the older runs what shares an identifier, or surname and kind, with it; ``compact`` merges the runs into one.
     """
 
     def __init__(self, spark, path: str):
@@ -349,11 +486,11 @@ class HistoryIndex:
         forest = self._read("forest")
         own = forest.where(F.col("run") == n).drop("run")
 
-        # Older entries that share an identifier with the batch, and older variants that share a root with it.
+        # Older entries that share an identifier with the batch, and older variants that share surname and kind with it.
         keyed = every.drop("run").withColumn("__key", F.explode(F.array(F.concat(F.lit("p"), "pmid"), F.concat(F.lit("d"), "doi")))).where("__key is not null")
         keys = new.select(F.explode(F.array(F.concat(F.lit("p"), "pmid"), F.concat(F.lit("d"), "doi"))).alias("__key")).where("__key is not null").distinct()
         near = keyed.join(keys, "__key", "left_semi").drop("__key").distinct()
-        within = forest.drop("run").join(own.select("root").distinct(), "root", "left_semi")
+        within = forest.drop("run").withColumn("kin", _kin()).join(own.select(_kin().alias("kin")).distinct(), "kin", "left_semi").select(own.columns)
         bare = every.drop("run").join(new.select("surname", "letters").distinct(), ["surname", "letters"], "left_semi").select(new.columns)
         links = identifier_links(near).unionByName(title_links(within, own)).unionByName(copy_links(bare))
         links.distinct().write.parquet(f"{self.path}/links/run={n}")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scholion.llm.history import LEAST_SIMILARITY, RECALL, TREES, HistoryIndex, _identifiers, build_forest, components, known_works, merge_runs, needed_level, prepare, surname, title_links, title_parts
+from scholion.llm.history import LEAST_SIMILARITY, RECALL, TREES, HistoryIndex, _identifiers, allowed_edits, block_keys, build_forest, components, known_works, merge_runs, needed_level, prepare, probe_keys, surname, title_links, title_parts
 
 SCHEMA = "entry_id long, id string, pmid string, doi string, title string, authors string"
 T = "Loss of BBAD11 alters recombination rate and chromatin loops in draft scaffolds"
@@ -110,6 +110,80 @@ def test_forest_range_search_reaches_recall(spark, tmp_path):
     assert merged.count() == 2 * forest.count()
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def _misspelt(rng, text, edits):
+    for _ in range(edits):
+        i = rng.randrange(len(text))
+        text = rng.choice([text[:i] + rng.choice("abcd") + text[i + 1 :], text[:i] + rng.choice("abcd") + text[i:], text[:i] + text[i + 1 :]])
+    return text
+
+
+def test_blocks_find_all_that_is_accepted():
+    rng = random.Random(11)
+    tried = 0
+    for n in [*range(10, 60), *range(60, 200, 7)] * 4:
+        title = "".join(rng.choices("abcdefgh", k=n))
+        other = _misspelt(rng, title, allowed_edits(n))
+        longer = title + "".join(rng.choices("abcdefgh", k=rng.randrange(60)))
+        a, b = sorted((other, title), key=len)
+        if len(a) >= 8 and _edits(a, b) <= allowed_edits(len(a)):
+            tried += 1
+            assert set(block_keys(a)) & set(probe_keys(b, True)), (a, b)
+        n = min(len(other), len(longer))
+        if n >= 16 and len(other) <= len(longer) + 3 and _edits(other[:n], longer[:n]) <= allowed_edits(n):
+            tried += 1
+            assert set(block_keys(longer, True)) & set(probe_keys(other, False)), (other, longer)
+    assert tried > 300
+
+
+def test_large_root_loses_no_short_or_cut_off_title(spark, tmp_path):
+    """Under a root of hundreds of titles the same pairs are found as by comparing each with each."""
+    rng = random.Random(5)
+    name = lambda k: "".join(rng.choices("bcdfglmnprstv", k=k))
+    titles = []
+    for i in range(80):
+        short, long = name(20), " ".join(name(9) for _ in range(11))
+        titles += [short, _misspelt(rng, short, 2), long, long[: 18 + i % 30] + " ..."]
+    for i in range(10):  # the start of a title, misspelt, from a group whose titles all begin alike
+        titles += [f"on the effects of {name(30)}", f"on the efects of {titles[-1][18:30]}…"]
+    rows = [(i, None, None, None, t, "Noor Pelham") for i, t in enumerate(titles)]
+    prepared = prepare(spark.createDataFrame(rows, SCHEMA))
+    forest = build_forest(prepared, str(tmp_path / "a"))
+    assert forest.select("root").distinct().count() == 1 and forest.count() > 256
+    p = [(r["entry_id"], r["letters"], r["cut_off"], r["guard"]) for r in forest.select("entry_id", "letters", "cut_off", "guard").collect()]
+    want = set()
+    for i, s, c, g in p:
+        for j, t, d, h in p:
+            n = min(len(s), len(t))
+            if i < j and not (c or d):
+                same = g == h and abs(len(s) - len(t)) <= 10 and _edits(s, t) <= allowed_edits(n)
+            else:
+                fits = (c if len(s) < len(t) else d if len(t) < len(s) else True) or abs(len(s) - len(t)) <= 3
+                same = i < j and fits and n >= 16 and _edits(s[:n], t[:n]) <= allowed_edits(n)
+            if same:
+                want.add((i, j))
+    assert len(want) >= 160
+    assert {tuple(r) for r in title_links(forest).collect()} == want
+    batch = forest.where("entry_id % 2 = 0")
+    assert {tuple(r) for r in title_links(forest, batch).collect()} == {(i, j) for i, j in want if i % 2 == 0 or j % 2 == 0}
+
+
+def test_cut_off_title_may_have_lost_its_gene(spark):
+    full = "Recombination rate and chromatin loops in draft scaffolds that lack BBAD11"
+    history = [(1, None, None, "10.99101/aaa", full, "Noor Pelham"), (2, None, None, "10.99101/bbb", T, "Noor Pelham")]
+    papers = [(10, None, "900000010", None, full[:45] + "...", "Pelham N"), (11, None, "900000011", None, full[:-1] + "…", "Pelham N"), (12, None, "900000012", None, T[:50].replace("BBAD11", "BBAD12") + "…", "Pelham N"), (13, None, "900000013", None, full.replace("BBAD11", "BBAD12") + "…", "Pelham N")]
+    assert found(spark, history, papers) == [(1, 10), (1, 11)]
+
+
 def test_batches_one_by_one_equal_all_at_once(spark, tmp_path):
     history = [(1, None, "900000001", "10.99101/aaa", T, "Noor Pelham"), (2, None, None, None, "A Quenby study of BVAK1 and seed set", "Vito Rin")]
     first = [(10, None, None, None, T[:60] + " ...", "Pelham N"), (11, None, "900000007", None, "Other work on BCAB1 in mice", "A Bel"), (12, None, None, None, "A Quenby study of BVAK1 and seed set", "Vito Rin")]
