@@ -1,15 +1,14 @@
 """Each new batch against all that was accepted before: a prefix-tree hash forest (problem 4).
 
-Titles become sets of word and word-part hashes; several permutations of a minhash signature are kept as sorted
-runs in the shared folder, each row under a key that starts with the part of the record that has to agree (the
-first author's surname, and the genes and numbers of the title) and goes on with the permutation's hashes, one
-level of the tree each. A batch finds its candidates by range search: all keys with a given prefix. Prefixes are
-widened (shortened) level by level until the expected recall at the least similarity of equal titles reaches its
-target; under a root that holds few entries that is the root itself. Under larger roots, where cut-off and short
-titles lie far below that similarity, equal blocks of letters find every pair the verification accepts. Cut-off
-titles may have lost their genes and are compared with all titles of the surname. Candidates are verified on the whole titles,
-identifiers are matched exactly, and the runs of new batches can be merged into the forest. Sameness carries over,
-so entries end in connected components, found with a few joins on keys; no group is collected anywhere.
+The head of a title becomes a set of shingles, and these, joined with the parts of the record that have to agree, a
+signature; several permutations of it are kept as runs sorted by key in the shared folder, one level of the tree for
+each minhash of a key. A batch finds its candidates by range search: all keys with a prefix of its own lie beside
+it. Prefixes are widened (shortened) until the share of damaged copies of the batch's titles that lie beside their
+originals reaches the target. Shingles are taken from the head alone, as a cut-off title still has it; a tree joins
+them with the start or the end of the surname and with the genes that end in the head, so that a wrong letter in the
+surname or before a gene spoils half of the trees at most. Candidates are verified on the whole titles, surnames,
+kinds, genes and numbers; identifiers are matched exactly; the runs of batches are merged by ``compact``. Sameness
+carries over, so entries end in connected components, found with joins on keys; no group is collected anywhere.
 
 Defined results: null, blank and unusable identifiers count as missing; entries without an identifier and without
 a title or surname match nothing; of equal entry ids in one table all rows take part, an entry is no duplicate of
@@ -20,23 +19,20 @@ from __future__ import annotations
 
 import hashlib
 import html
+import random
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholion.session import cut, scratch_path
 
-TREES, LEVELS = 8, 4
-#: Least similarity of the shingle sets of equal titles that the range search has to find, and the share it has to find.
-LEAST_SIMILARITY, RECALL = 0.4, 0.98
-#: A root with at most so many entries is searched whole, without tree levels or blocks.
-SMALL_ROOT = 64
-
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,9}(?:\s[^<>]*)?/?>")
 _END_MARKS = frozenset("])*†‡. \t\n\xa0")
@@ -110,123 +106,105 @@ def title_parts(title: str | None) -> tuple[str, str, bool]:
     return letters, guard + "|" + ("" if cut_off else ",".join(numbers)), cut_off
 
 
+TREES, LEVELS, BITS = 8, 3, 20
+#: Letters at the start of a title that the signatures are made of: a cut-off title still has them.
+HEAD = 24
+#: Share of damaged copies of the batch's own titles that the prefixes have to find, and how many are tried.
+RECALL, TRIED = 0.99, 2000
+#: A batch of at most so many classes is broadcast, as prefixes, to filter older runs in their scan (64 MB at most); larger ones are sorted in.
+MOST_BROADCAST = 1_000_000
+
+
 def _constants(label: bytes, n: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(label + b"%d" % i, digest_size=8).digest(), "big") | 1 for i in range(n)], dtype=np.uint64)
 
 
-_A, _B, _P = _constants(b"a", TREES * LEVELS), _constants(b"b", TREES * LEVELS), _constants(b"p", 5)
+_A, _B, _P = _constants(b"a", TREES * LEVELS), _constants(b"b", TREES * LEVELS), _constants(b"p", 4)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _P[3]
+    return h ^ (h >> np.uint64(33))
+
+
+def _salts(name: str, guard: str, letters: str) -> list[int]:
+    """What a tree's shingles are joined with: the kind, a part of the surname, the genes that end in the head.
+
+    Trees differ in the part of the surname (its start or its end) and in how far the head reaches for genes, so a
+    letter wrong in the surname, or letters lost before a gene, leave half of the trees as they are.
+    """
+    kind, genes = guard.split("|")[:2]
+    ends = [(g, letters.find(g) + len(g)) for g in genes.split(",") if g and g in letters]
+    seen = [",".join(g for g, end in ends if end <= reach) for reach in (HEAD, HEAD - 6)]
+    return [zlib.crc32(f"{part}|{kind}|{s}".encode()) for s in seen for part in (name[:3] + "<", name[-3:] + ">")]
 
 
-def signatures(titles: list[str], chunk: int = 2000) -> list[list[str]]:
-    """The tree keys of titles: per permutation, LEVELS hashes of four hexadecimal figures.
+def signatures(rows: list[tuple[str, str, str]], chunk: int = 4000) -> np.ndarray:
+    """The tree keys of (surname, guard, letters): for each tree one number of LEVELS minhashes of BITS bits, the tree before them.
 
-    The shingles are runs of five bytes, hashed together as products with odd constants and mixed.
+    The shingles are runs of three letters of the head, each joined with the salt of the tree.
     """
-    out: list[list[str]] = []
-    for at in range(0, len(titles), chunk):
-        raws = [t.encode().ljust(5, b" ") for t in titles[at : at + chunk]]
+    out = np.zeros((len(rows), TREES), dtype=np.int64)
+    for at in range(0, len(rows), chunk):
+        part = rows[at : at + chunk]
+        raws = [letters[:HEAD].encode().ljust(3, b" ") for _, _, letters in part]
+        salts = np.array([_salts(*r) for r in part], dtype=np.uint64)
         raw = np.frombuffer(b"".join(raws), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
         sizes = np.array([len(r) for r in raws])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        n = len(raw) - 4
-        h = raw[:n] * _P[0]
-        for k in range(1, 5):
-            h = (h ^ (h >> np.uint64(29))) + raw[k : k + n] * _P[k]
-        h = (h ^ (h >> np.uint64(31))) * _P[0]
-        h ^= h >> np.uint64(33)
+        h = raw[:-2] * _P[0] + raw[1:-1] * _P[1] + raw[2:] * _P[2]
         # Shingles that run from one title into the next are left out.
         inside = np.ones(len(raw), dtype=bool)
-        for k in range(1, 5):
-            inside[starts + sizes - k] = False
-        h, first = h[inside[:n]], np.concatenate([[0], np.cumsum(sizes - 4)[:-1]])
-        low = np.stack([np.minimum.reduceat(h * a + b, first) for a, b in zip(_A, _B)], axis=1) >> np.uint64(48)
-        flat = low.astype(">u2").tobytes().hex()
-        width = TREES * LEVELS * 4
-        for i in range(len(raws)):
-            key = flat[i * width : (i + 1) * width]
-            out.append([key[t * LEVELS * 4 : (t + 1) * LEVELS * 4] for t in range(TREES)])
+        inside[starts + sizes - 1] = inside[starts + sizes - 2] = False
+        h, n = h[inside[:-2]], sizes - 2
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        for t in range(TREES):
+            own = _mixed(h ^ (np.repeat(salts[:, t % 4], n) * _P[1]))
+            key = np.full(len(part), t, dtype=np.uint64)
+            for i in range(t * LEVELS, (t + 1) * LEVELS):
+                least = np.minimum.reduceat(own * _A[i] + _B[i], first)
+                key = (key << np.uint64(BITS)) | (_mixed(least) >> np.uint64(64 - BITS))
+            out[at : at + chunk, t] = key.astype(np.int64)
     return out
 
 
-def needed_level(trees: int = TREES, levels: int = LEVELS, similarity: float = LEAST_SIMILARITY, recall: float = RECALL) -> int:
-    """The longest prefix whose expected recall still reaches the target: the widening stops there."""
-    level = levels
-    while level > 1 and 1 - (1 - similarity**level) ** trees < recall:
-        level -= 1
-    return level
-
-
 def allowed_edits(letters: int) -> int:
     """Edits by which titles may differ, the shorter of which has so many letters."""
     return min(10, max(2, int(letters * 0.06)))
 
 
-def _block_classes() -> list[tuple[int, int, int, int]]:
-    """(least letters, edits, blocks, letters of a block). With two edits, two of four blocks are untouched; with more, one of edits + 1."""
-    out = [(n, 2, 4, n // 4) for n in (8, 12, 16, 24, 32, 40)]
-    for edits in range(3, 11):
-        least = next(n for n in range(1, 1000) if allowed_edits(n) == edits)
-        out.append((least, edits, edits + 1, least // (edits + 1)))
-    return out
-
-
-BLOCK_CLASSES = _block_classes()
+def damaged(rng: random.Random, name: str, guard: str, letters: str) -> tuple[str, str, str]:
+    """A copy as free typing makes it: a few letters wrong outside the genes, the end cut off, a letter of the surname wrong."""
+    genes = [g for g in guard.split("|")[1].split(",") if g]
+    safe = [i for i in range(len(letters)) if not any(letters.find(g) <= i < letters.find(g) + len(g) for g in genes)]
+    marks = list(letters)
+    for i in rng.sample(safe, min(len(safe), rng.randint(1, allowed_edits(len(letters))))):
+        marks[i] = rng.choice(["", marks[i] * 2, rng.choice("abcdefghij")])
+    text = "".join(marks)
+    if rng.random() < 0.4 and len(text) > HEAD:
+        text = text[: rng.randint(HEAD, len(text))]
+        genes = [g for g in genes if g in text]
+    elif len(name) > 4 and rng.random() < 0.2:
+        i = rng.randrange(len(name))
+        name = name[:i] + rng.choice("abcdefghij") + name[i + 1 :]
+    return name, guard.split("|")[0] + "|" + ",".join(genes) + "|", text
 
 
-def block_keys(letters: str, starts: bool = False) -> list[str]:
-    """Blocks of letters at the start of a title, by its length; ``starts``: also by the lengths of shorter titles, which may be its start."""
-    out = []
-    for least, edits, blocks, w in [c for c in BLOCK_CLASSES if c[0] <= len(letters)][0 if starts else -1 :]:
-        part = [letters[i * w : (i + 1) * w] for i in range(blocks)]
-        if edits == 2:
-            out += [f"{least}:{i}{j}:{part[i]}{part[j]}" for i in range(blocks) for j in range(i + 1, blocks)]
-        else:
-            out += [f"{least}:{i}:{part[i]}" for i in range(blocks)]
-    return out
-
+def needed_level(rows: list[tuple[str, str, str]], recall: float = RECALL) -> tuple[int, float]:
+    """The longest prefix under which at least ``recall`` of damaged copies of the titles lie beside their originals, and the share it finds.
 
-def probe_keys(letters: str, whole: bool) -> list[str]:
-    """Where a title may hold the blocks of another that agrees with it within the edits allowed.
-
-    ``whole``: of titles that are shorter by no more than the edits; else, for a cut-off title, of the starts of titles
-    and of titles that are shorter by three letters. A block moves by no more letters than there are edits before it;
-    the first block without an edit, of which no more edits than blocks precede, is among them.
+    Prefixes are widened (shortened) level by level until that holds; the widest is one level.
     """
-    out: set[str] = set()
-    n = len(letters)
-    for c, (least, edits, blocks, w) in enumerate(BLOCK_CLASSES):
-        if least > n:
-            break
-        if c + 1 < len(BLOCK_CLASSES) and BLOCK_CLASSES[c + 1][0] + (edits if whole else 3) <= n:
-            continue
-        if edits > 2:
-            for i in range(blocks):
-                out.update(f"{least}:{i}:{letters[at : at + w]}" for at in range(max(0, i * w - i), min(i * w + i, n - w) + 1))
-            continue
-        for i in range(blocks):
-            for s in range(-2, 3):
-                a = i * w + s
-                for j in range(i + 1, blocks):
-                    for b in range(j * w + s - 2 + abs(s), j * w + s + 3 - abs(s)):
-                        if a >= 0 and b + w <= n:
-                            out.add(f"{least}:{i}{j}:{letters[a : a + w]}{letters[b : b + w]}")
-    return sorted(out)
-
-
-def _with_blocks(df: DataFrame, probe: bool | None = None, starts: bool = False, chunk: int = 200) -> DataFrame:
-    """``__key`` for each block of ``letters``, or with ``probe`` (whole or not) for each place where one is sought."""
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk):
-                b = whole.slice(at, chunk)
-                titles = b.column(b.schema.names.index("letters")).to_pylist()
-                keys = [block_keys(t, starts) if probe is None else probe_keys(t, probe) for t in titles]
-                rows = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64())
-                b = b.take(rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for own in keys for k in own], pa.string())], names=[*b.schema.names, "__key"])
-
-    return df.mapInArrow(scan, df.schema.simpleString()[7:-1].replace(":", " ") + ", __key string")
+    if not rows:
+        return LEVELS, 1.0
+    rng = random.Random(29)
+    a, b = signatures(rows), signatures([damaged(rng, *r) for r in rows])
+    for level in range(LEVELS, 0, -1):
+        shift = BITS * (LEVELS - level)
+        share = float(((a >> shift) == (b >> shift)).any(axis=1).mean())
+        if share >= recall or level == 1:
+            return level, share
+    raise AssertionError
 
 
 def _identifiers(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -253,6 +231,7 @@ def _identifiers(df: DataFrame, id_col: str = "id") -> DataFrame:
     )
 
 
+
 def prepare(entries: DataFrame) -> DataFrame:
     """entry_id, normal pmid and doi, surname, guard, letters of the title and whether it was cut off."""
     base = _identifiers(entries)
@@ -270,68 +249,93 @@ def prepare(entries: DataFrame) -> DataFrame:
     return base.mapInArrow(scan, "entry_id long, pmid string, doi string, surname string, guard string, letters string, cut_off boolean")
 
 
-def build_forest(prepared: DataFrame, path: str) -> DataFrame:
-    """Writes the signature permutations of all titles as runs sorted by key under ``path``; returns them.
+#: Which identifiers a row has: 1 none, 2 a PMID, 4 a DOI, 8 both. Rows can be the same by title if one has none, or one has a PMID only and the other a DOI only.
+_HAS = "CASE WHEN pmid IS NULL AND doi IS NULL THEN 1 WHEN doi IS NULL THEN 2 WHEN pmid IS NULL THEN 4 ELSE 8 END"
+_TEXT = ("surname", "guard", "letters", "cut_off", "has")
+_CLASS = "class_id long, surname string, guard string, letters string, cut_off boolean, has int, n long"
+_TREE = "key long, class_id long, mark long"
 
-    Copies that agree in everything compared are one row here, with their smallest entry id: a work repeated in a
-    third of all rows is aggregated on the map side and takes one place in the trees.
-    """
-    # The root leaves out what a cut-off title may have lost (its numbers); the verification compares them.
-    root = F.concat_ws("␟", "surname", F.regexp_extract("guard", r"^([^|]*\|[^|]*)", 1))
-    variants = (
-        prepared.where((F.col("surname") != "") & (F.length("letters") >= 8))
-        .groupBy(root.alias("root"), "guard", "letters", "cut_off", "pmid", "doi")
-        .agg(F.min("entry_id").alias("entry_id"))
-    )
 
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = signatures(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.string()))], names=[*b.schema.names, "keys"])
+def _titled(entries: DataFrame) -> DataFrame:
+    return entries.where((F.col("surname") != "") & (F.length("letters") >= 8)).withColumn("has", F.expr(_HAS))
 
-    # Ranges are set on the unsigned rows: their sampling runs before the signatures, which keep the order.
-    ordered = variants.repartitionByRange("root").sortWithinPartitions("root")
-    ordered.mapInArrow(sign, variants.schema.simpleString()[7:-1].replace(":", " ") + ", keys array<string>").write.parquet(path)
-    return prepared.sparkSession.read.parquet(path)
 
+def classes(entries: DataFrame) -> DataFrame:
+    """The distinct titles with their smallest entry and number of rows.
 
-def merge_runs(spark, paths: list[str], path: str) -> DataFrame:
-    """Several runs of the forest merged into one sorted run."""
-    spark.read.parquet(*paths).repartitionByRange("root").sortWithinPartitions("root").write.parquet(path)
-    return spark.read.parquet(path)
+    Rows that agree in all that is compared by title are one class: a work repeated in a third of all rows is
+    aggregated on the map side and takes one place in each tree.
+    """
+    return _titled(entries).groupBy(*_TEXT).agg(F.min("entry_id").alias("class_id"), F.count("*").alias("n")).select("class_id", *_TEXT, "n")
 
 
-def _shared_prefix(a: str, b: str) -> F.Column:
-    n = F.least(F.length(a), F.length(b))
-    return F.levenshtein(F.substring(F.col(a), F.lit(1), n), F.substring(F.col(b), F.lit(1), n), 8)
+def tree_rows(of: DataFrame) -> DataFrame:
+    """(key, class_id, mark) of each class in each tree; the mark holds what the search tests before the titles are fetched."""
 
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, guards, letters = (b.column(i).to_pylist() for i in (1, 2, 3))
+            keys = signatures(list(zip(names, guards, letters)))
+            whole = np.array([zlib.crc32(g.encode()) for g in guards], dtype=np.int64)
+            kind = np.array([zlib.crc32(g.split("|")[0].encode()) & 0xFFFF for g in guards], dtype=np.int64)
+            cut_off = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            marks = (whole << 24) | (kind << 8) | (cut_off << 4) | b.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(np.tile(ids, TREES)), pa.array(np.tile(marks, TREES))], names=["key", "class_id", "mark"])
 
-_COMPARED = ("entry_id", "guard", "letters", "cut_off", "pmid", "doi")
+    return of.mapInArrow(scan, _TREE)
 
 
-def _kin() -> F.Column:
-    """Surname and kind of a root, without the genes."""
-    return F.substring_index("root", "|", 1)
+def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether marks allow the classes to be one work."""
+    cut_off = ((a | b) >> 4) & 1
+    same = np.where(cut_off == 1, ((a ^ b) >> 8) & 0xFFFF == 0, (a ^ b) >> 24 == 0)
+    x, y = a & 15, b & 15
+    return same & ((x == 1) | (y == 1) | ((x | y) == 6))
 
 
-def _groups(forest: DataFrame, by: str) -> DataFrame:
-    """Size of the groups in which titles have something to decide: several entries, not all of them with both identifiers."""
-    sizes = forest.groupBy(by).agg(F.count("*").alias("__n"), F.count(F.when(F.col("pmid").isNull() | F.col("doi").isNull(), 1)).alias("__open"))
-    return sizes.where("__n > 1 and __open > 0")
+def range_search(old: DataFrame | None, new: DataFrame, level: int) -> DataFrame:
+    """(a, b): classes under one prefix of ``level`` hashes in some tree, at least one of them new, whose marks agree.
 
+    The permutations lie sorted by key; all keys with the prefix of a key are one range beside it. A range never
+    spans partitions, as these are cut at prefixes; within one it is walked along, however many batches it fills.
+    """
+    shift = BITS * (LEVELS - level)
+    every = new.withColumn("own", F.lit(True))
+    if old is not None:
+        every = every.unionByName(old.withColumn("own", F.lit(False)))
+    ordered = every.repartitionByRange(F.shiftright("key", shift)).sortWithinPartitions("key")
 
-def _genes(p: str = "") -> F.Column:
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for b in batches:
+            got = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if rest is not None:
+                got = [np.concatenate(x) for x in zip(rest, got)]
+            prefix = got[0] >> shift
+            last = int(np.searchsorted(prefix, prefix[-1])) if len(prefix) else 0
+            rest = [x[last:] for x in got]
+            yield from pairs(prefix[:last], *[x[:last] for x in got[1:]])
+        if rest is not None:
+            yield from pairs(rest[0] >> shift, *rest[1:])
+
+    def pairs(prefix: np.ndarray, ids: np.ndarray, marks: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, step = np.arange(len(prefix)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(prefix)]
+            at = at[prefix[at] == prefix[at + step]]
+            hit = at[(own[at] | own[at + step]) & (ids[at] != ids[at + step]) & _compatible(marks[at], marks[at + step])]
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hit], ids[hit + step])), pa.array(np.maximum(ids[hit], ids[hit + step]))], names=["a", "b"])
+
+    return ordered.mapInArrow(scan, "a long, b long").distinct()
+
+
+def _genes(p: str) -> F.Column:
     return F.filter(F.split(F.split(p + "guard", r"\|")[1], ","), lambda g: g != "")
 
 
-def _paired(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """Pairs of entries of different ids that agree in ``by`` and ``__key`` and whose identifiers cannot be compared."""
-    named = lambda df, p: df.select(by, "__key", *[F.col(c).alias(p + c) for c in _COMPARED])
-    pairs = named(a, "a_").join(named(b, "b_"), [by, "__key"]).where("a_entry_id <> b_entry_id").drop(by, "__key")
-    apart = (F.col("a_pmid").isNotNull() & F.col("b_pmid").isNotNull()) | (F.col("a_doi").isNotNull() & F.col("b_doi").isNotNull())
-    return pairs.where(~F.coalesce(apart, F.lit(False)))
-
-
 def _same_genes() -> F.Column:
     """A gene of one title may miss in the other only where the cut-off title a ends before the gene or within it."""
     n, mine, other = F.length("a_letters"), _genes("a_"), _genes("b_")
@@ -341,79 +345,68 @@ def _same_genes() -> F.Column:
     return known & F.forall(other, lambda h: F.array_contains(mine, h) | F.exists(clipped, lambda g: h.startswith(g)) | beyond(h))
 
 
-def title_links(forest: DataFrame, query: DataFrame | None = None) -> DataFrame:
-    """Pairs (first, second) of entries whose titles and surnames agree and whose identifiers cannot be compared."""
-    return _whole_links(forest, query).unionByName(_cut_links(forest, query)).distinct()
-
-
-def _linked(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a_entry_id", "b_entry_id").alias("first"), F.greatest("a_entry_id", "b_entry_id").alias("second"))
+def same_work() -> F.Column:
+    """Whether columns a_* and b_* are one work by title: for a cut-off title, a is the shorter of the cut-off ones."""
+    la, lb = F.length("a_letters"), F.length("b_letters")
+    allowed = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.least(la, lb) * 0.06))).cast("int")
+    wrong = F.levenshtein("a_surname", "b_surname", 1)
+    names = (F.col("a_surname") == F.col("b_surname")) | ((F.least(F.length("a_surname"), F.length("b_surname")) >= 5) & (wrong >= 0))
+    near = F.levenshtein("a_letters", "b_letters", 12)
+    whole = ~F.col("a_cut_off") & ~F.col("b_cut_off") & (F.col("a_guard") == F.col("b_guard")) & (near >= 0) & (near <= allowed)
+    n = F.least(la, lb)
+    start = F.levenshtein(F.substring(F.col("a_letters"), F.lit(1), n), F.substring(F.col("b_letters"), F.lit(1), n), 8)
+    kind = F.substring_index("a_guard", "|", 1) == F.substring_index("b_guard", "|", 1)
+    # A cut-off title has to be the shorter one, or both are cut.
+    shorter = F.col("a_cut_off") & ((la <= lb) | F.col("b_cut_off") | (la - lb <= 3)) & (n >= 16)
+    return names & (whole | (shorter & kind & _same_genes() & (start >= 0) & (start <= allowed)))
 
 
-def _allowed() -> F.Column:
-    return F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.least(F.length("a_letters"), F.length("b_letters")) * 0.06))).cast("int")
+def verified(candidates: DataFrame, of: DataFrame) -> DataFrame:
+    """The candidate pairs whose whole titles agree."""
+    touched = candidates.select(F.col("a").alias("class_id")).unionByName(candidates.select(F.col("b").alias("class_id"))).distinct()
+    own = of.join(touched, "class_id", "left_semi")
+    named = lambda p: own.select(*[F.col(c).alias(f"{p}_{c}") for c in ("class_id", "surname", "guard", "letters", "cut_off")])
+    # Either of two cut-off titles, or the only one, takes the part of the shorter.
+    both = candidates.select(F.col("a").alias("a_class_id"), F.col("b").alias("b_class_id")).join(named("a"), "a_class_id").join(named("b"), "b_class_id")
+    turned = both.select(*[F.col(("b" if c[0] == "a" else "a") + c[1:]).alias(c) for c in both.columns])
+    return both.unionByName(turned).where(same_work()).select(F.least("a_class_id", "b_class_id").alias("a"), F.greatest("a_class_id", "b_class_id").alias("b")).distinct()
 
 
-def _whole_links(forest: DataFrame, query: DataFrame | None) -> DataFrame:
-    """Titles that are not cut off, under one root."""
-    level, few = needed_level(), F.col("__n") <= SMALL_ROOT
-    forest = forest.where("not cut_off")
-    sizes = _groups(forest, "root")
-    b = forest.join(sizes, "root")
-    a = b if query is None else query.where("not cut_off").join(sizes, "root")
-    deep = F.transform("keys", lambda k, i: F.concat(i.cast("string"), F.lit(":"), F.substring(k, 1, 4 * level)))
-    keyed = lambda df: df.withColumn("__key", F.explode(F.when(few, F.array(F.lit(""))).otherwise(deep))).drop("keys")
-    large = lambda df: df.where(~few).drop("keys")
-    pairs = _paired(keyed(a), keyed(b), "root").unionByName(_paired(_with_blocks(large(a)), _with_blocks(large(b), True), "root"))
-    if query is not None:
-        # Either title may be the shorter one.
-        pairs = pairs.unionByName(_paired(_with_blocks(large(a), True), _with_blocks(large(b)), "root"))
-    near = F.levenshtein("a_letters", "b_letters", 12)
-    return _linked(pairs.where((F.col("a_guard") == F.col("b_guard")) & (near >= 0) & (near <= _allowed())))
+def member_links(entries: DataFrame, of: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(first, second) of the verified pairs, and of the other rows of their classes, each with one entry it is the same as.
 
+    Rows of one class are one work where they have no identifier, or where another class is the same as all of them.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    anchors = both.groupBy(F.col("a").alias("class_id")).agg(F.min("b").alias("near"))
+    several = of.where("n > 1").join(anchors, "class_id", "left").withColumn("anchor", F.when(F.col("has") == 1, F.col("class_id")).otherwise(F.col("near"))).where("anchor is not null")
+    text = [F.xxhash64(*_TEXT).alias("h1"), F.xxhash64(F.lit(7), *_TEXT).alias("h2")]
+    rows = _titled(entries).select("entry_id", *text).join(several.select("anchor", *text), ["h1", "h2"]).where("entry_id <> anchor")
+    return pairs.select(F.col("a").alias("first"), F.col("b").alias("second")).unionByName(rows.select(F.least("entry_id", "anchor").alias("first"), F.greatest("entry_id", "anchor").alias("second")))
 
-def _cut_links(forest: DataFrame, query: DataFrame | None) -> DataFrame:
-    """Pairs of which at least one title is cut off, within surname and kind.
 
-    A gene that does not end a cut-off title must be in the other title too; a title cut off before or in its first
-    gene is compared with all titles of the surname and kind.
-    """
-    few = F.col("__n") <= SMALL_ROOT
-    group = lambda gene: F.concat_ws("|", _kin(), gene)
-    lasting = F.filter(_genes(), lambda g: ~F.col("letters").endswith(g))
-    cut_off = lambda df: df.where(F.col("cut_off") & (F.length("letters") >= 16)).withColumn("group", group(F.coalesce(F.get(lasting, F.lit(0)), F.lit("")))).drop("keys")
-    every = lambda df: df.where(F.length("letters") >= 16).withColumn("group", F.explode(F.transform(F.concat(F.array(F.lit("")), _genes()), group))).drop("keys")
-    small = lambda df: df.where(few).withColumn("__key", F.lit(""))
-    large = lambda df: df.where(~few)
-    pairs = None
-    for x, y in [(forest, forest)] if query is None else [(query, forest), (forest, query)]:
-        a, b = cut_off(x), every(y)
-        sizes = _groups(every(forest).join(a.select("group").distinct(), "group", "left_semi"), "group")
-        a, b = a.join(sizes, "group"), b.join(sizes, "group")
-        got = _paired(small(a), small(b), "group").unionByName(_paired(_with_blocks(large(a), False), _with_blocks(large(b), starts=True), "group"))
-        pairs = got if pairs is None else pairs.unionByName(got)
-    la, lb = F.length("a_letters"), F.length("b_letters")
-    start = _shared_prefix("a_letters", "b_letters")
-    # A cut-off title has to be the shorter one, or both are cut.
-    shorter = (la <= lb) | F.col("b_cut_off") | (F.abs(la - lb) <= 3)
-    return _linked(pairs.where(shorter & _same_genes() & (start >= 0) & (start <= _allowed())))
+def _keys(entries: DataFrame) -> DataFrame:
+    return entries.select("entry_id", F.explode(F.array(F.concat(F.lit("p"), "pmid"), F.concat(F.lit("d"), "doi"))).alias("key")).where("key is not null")
 
 
-def identifier_links(prepared: DataFrame) -> DataFrame:
+def identifier_links(new: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """(first, second): each entry with the smallest entry of the same PMID or DOI. Hot identifiers are aggregated before they are joined."""
-    keys = prepared.select("entry_id", F.explode(F.array(F.concat(F.lit("p"), "pmid"), F.concat(F.lit("d"), "doi"))).alias("key")).where("key is not null")
-    least = keys.groupBy("key").agg(F.min("entry_id").alias("first"), F.max("entry_id").alias("__last")).where("first <> __last").drop("__last")
+    keys = _keys(new)
+    smallest = keys
+    if old is not None:
+        smallest = keys.unionByName(_keys(old))
+    least = smallest.groupBy("key").agg(F.min("entry_id").alias("first"), F.max("entry_id").alias("__last")).where("first <> __last").drop("__last")
     return keys.join(least, "key").where("entry_id <> first").select("first", F.col("entry_id").alias("second"))
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(entry_id, first_id) for each linked entry: the smallest entry of its component, by hash-to-min with shortcuts.
+def components(links: DataFrame) -> DataFrame:
+    """(entry_id, first_id) for each linked entry: the smallest entry of its component, by large and small stars.
 
-    Every round points each entry at the smallest entry known to be linked with it and hangs the rest under that
-    one; lineage is cut by writing each round to the shared folder.
+    Every round hangs the larger neighbours of an entry under its smallest one; rounds go on until all hang under
+    one first. Lineage is cut by writing each round to the shared folder.
     """
     edges = cut(links.where("first <> second").distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         # Large star: link every neighbour of a node that is larger than it to the node's smallest neighbour.
         both = edges.select(F.col("first").alias("u"), F.col("second").alias("v")).unionByName(edges.select(F.col("second").alias("u"), F.col("first").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -422,85 +415,109 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         low = large.groupBy("second").agg(F.min("first").alias("m"))
         small = large.join(low, "second")
         new = small.select(F.col("m").alias("first"), "second").unionByName(small.select(F.col("m").alias("first"), F.col("first").alias("second"))).where("first <> second").distinct()
-        new = cut(new, "edges")
+        edges = cut(new, "edges")
         # At the end every node hangs directly under one first, and no first hangs under another.
-        parents = new.groupBy("second").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(1).alias("x"))
-        chained = new.select(F.col("second").alias("k")).join(new.select(F.col("first").alias("k")), "k", "left_semi").select(F.lit(1).alias("x"))
-        edges = new
+        parents = edges.groupBy("second").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(1).alias("x"))
+        chained = edges.select(F.col("second").alias("k")).join(edges.select(F.col("first").alias("k")), "k", "left_semi").select(F.lit(1).alias("x"))
         if parents.unionByName(chained).isEmpty():
-            break
-    return edges.select(F.col("second").alias("entry_id"), F.col("first").alias("first_id"))
-
-
-def copy_links(entries: DataFrame) -> DataFrame:
-    """(first, second) of rows without identifiers that agree in all that is compared: one variant of the forest."""
-    same = ["surname", "guard", "letters", "cut_off"]
-    bare = entries.where((F.col("surname") != "") & (F.length("letters") >= 8) & F.col("pmid").isNull() & F.col("doi").isNull())
-    least = bare.groupBy(*same).agg(F.min("entry_id").alias("first"), F.max("entry_id").alias("__last")).where("first <> __last").drop("__last")
-    return bare.join(least, same).where("entry_id <> first").select("first", F.col("entry_id").alias("second"))
+            return edges.select(F.col("second").alias("entry_id"), F.col("first").alias("first_id"))
 
 
 NAMES = ("entry_id", "id", "pmid", "doi", "title", "authors")
 
 
-def known_works(history: DataFrame, batches: DataFrame) -> DataFrame:
-    """(first_id, dup_id) for each entry of ``batches`` whose work occurred before, in history or in earlier batches."""
-    spark = batches.sparkSession
-    entries = cut(prepare(history.select(*NAMES).unionByName(batches.select(*NAMES))), "entries")
-    forest = build_forest(entries, scratch_path(spark, "forest"))
-    found = components(identifier_links(entries).unionByName(title_links(forest)).unionByName(copy_links(entries)))
-    return found.join(batches.select("entry_id").distinct(), "entry_id", "left_semi").select("first_id", F.col("entry_id").alias("dup_id"))
-
-
 class HistoryIndex:
-    """All that was accepted, kept as runs under a shared folder, so that a batch is compared without reading the history again.
+    """All that was accepted, kept as runs under a shared folder, so that a batch is compared without preparing or linking the history again.
 
-    Each batch adds one run of prepared entries, one sorted run of the forest and one of the links found. A batch
-    reads of the older runs what shares an identifier, or surname and kind, with it; ``compact`` merges the runs into one.
+    A run holds the batch's prepared entries, its classes, its permutations sorted by key, and the stars found (an
+    entry and the first of its work). A batch reads of the older runs the narrow keys only: identifiers by equality,
+    permutations by the ranges that the batch's prefixes open, and titles of the candidates found there. Entries of
+    the batch link to the firsts of older works, so older links are looked up, not joined again. ``compact`` merges
+    the runs into one.
     """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        entries = self._read("entries")
+        last = entries.agg(F.max("run").alias("m")).first()["m"] if entries is not None else None
+        self.runs = 0 if last is None else int(last) + 1
+        #: The level and measured recall of the last search.
+        self.level, self.recall = LEVELS, 1.0
 
-    def _read(self, kind: str) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
+    def _read(self, kind: str, before: int | None = None) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.path}/{kind}")
+            got = self.spark.read.parquet(f"{self.path}/{kind}")
         except AnalysisException:
             return None
+        return (got if before is None else got.where(F.col("run") < before)) if "run" in got.columns else None
 
-    def runs(self) -> int:
-        """The number of the next run."""
-        entries = self._read("entries")
-        last = entries.agg(F.max("run").alias("m")).first()["m"] if entries is not None else None
-        return 0 if last is None else int(last) + 1
+    def _write(self, df: DataFrame, kind: str, run: int) -> DataFrame:
+        path = f"{self.path}/{kind}/run={run}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _add(self, batch: DataFrame) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+        run, self.runs = self.runs, self.runs + 1
+        entries = self._write(prepare(batch.select(*NAMES)), "entries", run)
+        of = self._write(classes(entries), "classes", run)
+        forest = self._write(tree_rows(of).repartitionByRange("key").sortWithinPartitions("key"), "forest", run)
+        return run, entries, of, forest
+
+    def seed(self, history: DataFrame) -> None:
+        """Adds works that are known to be different: they are not compared with each other."""
+        self._add(history)
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """Adds a batch; (first_id, dup_id) of its entries whose work was there before or earlier in the batch."""
-        n = self.runs()
-        prepare(batch.select(*NAMES)).write.parquet(f"{self.path}/entries/run={n}")
-        every = self._read("entries")
-        new = every.where(F.col("run") == n).drop("run")
-        build_forest(new, f"{self.path}/forest/run={n}")
-        forest = self._read("forest")
-        own = forest.where(F.col("run") == n).drop("run")
-
-        # Older entries that share an identifier with the batch, and older variants that share surname and kind with it.
-        keyed = every.drop("run").withColumn("__key", F.explode(F.array(F.concat(F.lit("p"), "pmid"), F.concat(F.lit("d"), "doi")))).where("__key is not null")
-        keys = new.select(F.explode(F.array(F.concat(F.lit("p"), "pmid"), F.concat(F.lit("d"), "doi"))).alias("__key")).where("__key is not null").distinct()
-        near = keyed.join(keys, "__key", "left_semi").drop("__key").distinct()
-        within = forest.drop("run").withColumn("kin", _kin()).join(own.select(_kin().alias("kin")).distinct(), "kin", "left_semi").select(own.columns)
-        bare = every.drop("run").join(new.select("surname", "letters").distinct(), ["surname", "letters"], "left_semi").select(new.columns)
-        links = identifier_links(near).unionByName(title_links(within, own)).unionByName(copy_links(bare))
-        links.distinct().write.parquet(f"{self.path}/links/run={n}")
-        found = components(self._read("links").select("first", "second"))
-        return found.join(new.select("entry_id").distinct(), "entry_id", "left_semi").select("first_id", F.col("entry_id").alias("dup_id"))
+        run, entries, of, forest = self._add(batch)
+        size = of.count()
+        tried = of.orderBy(F.xxhash64("class_id"), "class_id").limit(TRIED).select("surname", "guard", "letters").collect()
+        self.level, self.recall = needed_level([tuple(r) for r in tried])
+        old = self._read("forest", run) if run else None
+        if old is not None:
+            old = old.drop("run")
+            if size <= MOST_BROADCAST:
+                prefix = lambda df: F.shiftright(df["key"], BITS * (LEVELS - self.level))
+                open_ranges = forest.select(prefix(forest).alias("__p")).distinct()
+                old = old.join(F.broadcast(open_ranges), prefix(old) == open_ranges["__p"], "left_semi")
+        candidates = cut(range_search(old, forest, self.level), "candidates")
+        every = self._read("classes").drop("run") if run else of
+        pairs = cut(verified(candidates, every), "pairs")
+        before = self._read("entries", run) if run else None
+        links = identifier_links(entries, before).unionByName(member_links(entries, of, pairs))
+        found = components(self._rooted(links, run))
+        self._write(found, "stars", run)
+        return found.join(entries.select("entry_id").distinct(), "entry_id", "left_semi").select("first_id", F.col("entry_id").alias("dup_id"))
+
+    def _rooted(self, links: DataFrame, run: int) -> DataFrame:
+        """The links with entries of older runs replaced by the firsts of their works."""
+        for n in range(run):
+            try:
+                stars = self.spark.read.schema("entry_id long, first_id long").parquet(f"{self.path}/stars/run={n}")
+            except AnalysisException:  # a run that was seeded has no stars
+                continue
+            for c in ("first", "second"):
+                named = stars.select(F.col("entry_id").alias(c), F.col("first_id").alias("__root"))
+                links = links.join(named, c, "left").select(F.coalesce("__root", c).alias(c), "second" if c == "first" else "first").select("first", "second")
+        return links.select(F.least("first", "second").alias("first"), F.greatest("first", "second").alias("second"))
 
     def compact(self, path: str) -> HistoryIndex:
-        """The same history as one run under another folder."""
+        """The same history as one run under another folder; its sorted permutations are merged."""
         self._read("entries").drop("run").write.parquet(f"{path}/entries/run=0")
-        self._read("forest").drop("run").repartitionByRange("root").sortWithinPartitions("root").write.parquet(f"{path}/forest/run=0")
-        stars = components(self._read("links").select("first", "second")).select(F.col("first_id").alias("first"), F.col("entry_id").alias("second"))
-        stars.write.parquet(f"{path}/links/run=0")
+        self._read("classes").drop("run").write.parquet(f"{path}/classes/run=0")
+        self._read("forest").drop("run").repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{path}/forest/run=0")
+        stars = self._read("stars")
+        if stars is not None:
+            merged = components(stars.select(F.col("first_id").alias("first"), F.col("entry_id").alias("second")))
+            merged.write.parquet(f"{path}/stars/run=0")
         return HistoryIndex(self.spark, path)
+
+
+def known_works(history: DataFrame, batches: DataFrame) -> DataFrame:
+    """(first_id, dup_id) for each entry of ``batches`` whose work occurred before, in history or in earlier batches.
+
+    The history seeds an index of its own; the batches given are compared with it, and with one another, as one.
+    """
+    index = HistoryIndex(batches.sparkSession, scratch_path(batches.sparkSession, "history"))
+    index.seed(history)
+    return index.accept(batches)
