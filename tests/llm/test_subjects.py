@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholion.llm.subjects import Features, Model, assign, find_subjects
+from scholion.llm.subjects import Features, Model, Sentences, assign, find_subjects
 
 WORDS = {1: "genome splice allele haplotype", 2: "cortex neuron synapse axon", 3: "meadow pollinator kelp beetle"}
 COMMON = ["differences persisted after", "was linked to", "failed near the station during", "explained the spread among"]
@@ -78,3 +78,26 @@ def test_a_word_of_all_subjects_weighs_nothing():
     counts[2] = [0, 40]
     m = Model(counts, [1, 2])
     assert abs(m.weights[0]).max() < 0.1 and m.weights[1, 0] > 1 > -1 > m.weights[1, 1] and not m.weights[3].any()
+
+
+def test_a_batch_gives_what_its_documents_give_alone():
+    rng = random.Random(4)
+    features = Features(512)
+    got = [features.sentences(t) for t in ("", sentence(rng, 1), " ".join(sentence(rng, 2) for _ in range(5)), "Zz.", sentence(rng, 3) + " " + sentence(rng, 1))]
+    words, starts = ([np.asarray(g[i], dtype=np.int32).tobytes() for g in got] for i in (0, 1))
+    counts = np.random.default_rng(1).random((512, 3)) * 5
+    m = Model(counts, [1, 2, 3])
+    whole = Sentences([*words, None], [*starts, None])
+    assert whole.rows.tolist() == [1, 2, 4]
+    shares = m.by_document(*m.posteriors(whole.ids, whole.starts), whole.docs)
+    for row, share in zip(whole.rows, shares):
+        one = Sentences([words[row]], [starts[row]])
+        assert np.allclose(m.by_document(*m.posteriors(one.ids, one.starts), one.docs)[0], share, atol=1e-5)
+        assert abs(share.sum() - 1) < 1e-5
+
+
+def test_subjects_beyond_the_bound_are_refused(spark):
+    d = spark.createDataFrame([(1, "A text about something.")], "doc_id long, text string")
+    s = spark.createDataFrame([(i, "a") for i in range(5)], "subject_id int, subject string")
+    with pytest.raises(ValueError):
+        find_subjects(d, spark.createDataFrame([(1, 1)], "doc_id long, subject_id int"), s, most_subjects=4)
