@@ -5,8 +5,8 @@ once to count in how many of them each seed of an item occurs elsewhere than in
 once to be compared. Seeds that many documents hold so are wording of the field for that item and start no match,
 unless they stand in a long passage of it: the copies of a leaked item, however many, do not make it wording of the
 field. For a document that shares seeds with an item the longest matches are
-marked first, one after the other, without overlap (Karp-Rabin: the hash of a window runs along and equal windows
-are extended word by word); tiles on nearly one diagonal with a changed word between them are one passage. A
+marked first, one after the other, without overlap (Karp-Rabin: the hashes of a document's windows of three words are looked
+up among those of the items, and equal windows extended word by word); tiles on nearly one diagonal with a changed word between them are one passage. A
 document gives an item away if one or two passages span at least a third of the item's words, in whichever order
 they stand.
 
@@ -22,11 +22,13 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Collection, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 3
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[一-鿿]|[^\W_]+")
 
 
@@ -55,14 +57,34 @@ class ItemIndex:
         self.seeds = dict(self.seeds)
         self.numbers = {(n, s): i for i, (n, s) in enumerate(dict.fromkeys((n, s) for s, at in self.seeds.items() for n, _ in at))}
         self.common: set[tuple[int, tuple[int, int, int]]] = set()
+        self.windows = np.unique(self.rolling(np.array(list(self.seeds), dtype=np.int64).reshape(-1, SEED))) if self.seeds else np.zeros(0, dtype=np.uint64)
+
+    @staticmethod
+    def rolling(windows: np.ndarray) -> np.ndarray:
+        """The Karp-Rabin hash of each window of words, modulo 2 to the 64."""
+        h = np.zeros(len(windows), dtype=np.uint64)
+        for i in range(SEED):
+            h = h * _BASE + windows[:, i].astype(np.uint64)
+        return h
 
     def ids(self, text: str) -> list[int]:
         get = self.vocabulary.get
         return [get(w, -1) for w in words(text)]
 
     def found_seeds(self, ids: list[int]) -> list[tuple[int, tuple[int, int, int]]]:
-        seeds = self.seeds
-        return [(k, t) for k, t in enumerate(zip(ids, ids[1:], ids[2:])) if t in seeds]
+        """Places of the document's windows that are seeds: those of an equal hash are compared word by word."""
+        if len(ids) < SEED or not len(self.windows):
+            return []
+        every = np.array(ids, dtype=np.int64)
+        known = every >= 0
+        at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        if not len(at):
+            return []
+        h = self.rolling(every[at[:, None] + np.arange(SEED)])
+        spot = np.searchsorted(self.windows, h)
+        hit = at[self.windows[np.minimum(spot, len(self.windows) - 1)] == h]
+        got = [(k, tuple(ids[k : k + SEED])) for k in hit.tolist()]
+        return [(k, t) for k, t in got if t in self.seeds]
 
     def leaks(self, text: str) -> list[int]:
         """Numbers of the items that a text gives away."""
