@@ -135,8 +135,8 @@ def _script(c: str) -> str:
     return "O"
 
 
-def cost(text: str) -> int:
-    """The garbling cost of a text: nought for sound text."""
+def surface(text: str) -> int:
+    """The part of the garbling cost that single characters and their neighbours show."""
     total = 3 * len(_LOST.findall(text)) + 2 * len(_BOX.findall(text))
     total += 2 * (len(_SIGN_IN_WORD.findall(text)) + len(_UPPER_IN_WORD.findall(text)) + len(_ODD_PLACE.findall(text)))
     for w in _LATIN_WORD.findall(text):
@@ -145,7 +145,17 @@ def cost(text: str) -> int:
     return total
 
 
-def _utf8_repair(text: str) -> str:
+def cost(text: str) -> int:
+    """The garbling cost of a text, nought for sound text: what its surface shows and the characters that are remains of longer sequences."""
+    return surface(text) + sum(removed for _, removed in _decoded(text))
+
+
+def _decoded(text: str) -> list[tuple[str, int]]:
+    """What each way of decoding runs of remains gives, and how many characters of the text are such remains."""
+    return [_han_repair(text), _utf8_repair(text), _wide_repair(text)]
+
+
+def _utf8_repair(text: str) -> tuple[str, int]:
     """Every run that strictly decodes as UTF-8 under one of the single-byte encodings, decoded; longest gain first."""
     best, gain = text, 0
     russian = _RUSSIAN.search(text) is not None
@@ -168,12 +178,12 @@ def _utf8_repair(text: str) -> str:
         new = _utf8_run(e).sub(back, text)
         if runs[0] > gain:
             best, gain = new, runs[0]
-    return best
+    return best, gain
 
 
 def _single_repair(text: str) -> str:
     """The whole passage under the single-byte pairs and the wide ones, if the cost drops."""
-    best, least = text, cost(text)
+    best, least = text, surface(text)
     if not least and not any(" " <= c for c in text):
         return text
     for wrong, right in PAIRS:
@@ -188,7 +198,7 @@ def _single_repair(text: str) -> str:
             new = raw.decode(right)
         except UnicodeDecodeError:
             continue
-        now = cost(new)
+        now = surface(new)
         if now < least:
             best, least = new, now
     return best
@@ -198,8 +208,9 @@ _HAN_RUN = re.compile("[㐀-鿿＀-￯　-〿€]+")
 _HIGH_RUN = re.compile("[\u0080-\u00ff]{4,}")
 
 
-def _wide_repair(text: str) -> str:
+def _wide_repair(text: str) -> tuple[str, int]:
     """UTF-8 read as a two-byte encoding: runs of rare Han."""
+    removed = [0]
 
     def back(m: re.Match) -> str:
         for e in ("gb18030", "big5", "shift_jis", "euc_kr"):
@@ -208,16 +219,18 @@ def _wide_repair(text: str) -> str:
             except (UnicodeEncodeError, UnicodeDecodeError):
                 continue
             if len(out) < 2 * len(m.group()) and all(unicodedata.category(c)[0] in "LNPSZM" for c in out):
+                removed[0] += len(m.group())
                 return out
         return m.group()
 
-    text = _HAN_RUN.sub(back, text) if _HAN_RUN.search(text) else text
-
-    return text
+    if _HAN_RUN.search(text):
+        text = _HAN_RUN.sub(back, text)
+    return text, removed[0]
 
 
-def _han_repair(text: str) -> str:
+def _han_repair(text: str) -> tuple[str, int]:
     """Two-byte text read as Latin: runs of high characters that are no UTF-8 as a whole but Han throughout."""
+    removed = [0]
 
     def han(m: re.Match) -> str:
         try:
@@ -233,10 +246,13 @@ def _han_repair(text: str) -> str:
             except (UnicodeEncodeError, UnicodeDecodeError):
                 continue
             if all("　" <= c <= "鿿" or "＀" <= c <= "￯" or c in "“”‘’…—·" for c in out):
+                removed[0] += len(m.group())
                 return out
         return m.group()
 
-    return _HIGH_RUN.sub(han, text) if _HIGH_RUN.search(text) else text
+    if _HIGH_RUN.search(text):
+        text = _HIGH_RUN.sub(han, text)
+    return text, removed[0]
 
 
 def restore(passage: str, layers: int = 4) -> tuple[str, bool]:
@@ -246,18 +262,15 @@ def restore(passage: str, layers: int = 4) -> tuple[str, bool]:
         return passage, bad
     text, found = passage, False
     for _ in range(layers):
-        new = _han_repair(text)
-        if new == text:
-            new = _utf8_repair(text)
-        if new == text:
-            new = _wide_repair(text)
-        if new == text:
-            new = _single_repair(text)
-        if new == text:
+        tries = _decoded(text)
+        now = surface(text) + sum(removed for _, removed in tries)
+        new = next((t for t, _ in tries if t != text), None) or _single_repair(text)
+        # One gate for every pair: what was decoded is kept if the cost drops.
+        if new == text or cost(new) >= now:
             break
         text, found = new, True
     if not found:
-        found = bool(_LOST.search(passage)) or cost(passage) > 0
+        found = now > 0 or bool(_LOST.search(passage))
     if not found and "?" in passage:
         found = bool(_QUESTIONED.search(_URL.sub(" ", passage)))
     return text, found
