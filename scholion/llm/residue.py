@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -229,23 +230,24 @@ class ResidueIndex:
         self.frequencies = frequencies
         self.items: list[tuple[str, list[str], float]] = []
         self.index: dict[str, list[int]] = defaultdict(list)
-        self.whole: set[tuple[str, ...]] = set()
         anchors: set[str] = set()
         for label, text in exemplars:
             words = tokens(text)
-            if label == "field":
-                self.whole.add(tuple(words))
-                continue
             total = sum(map(self.weight, set(words)))
             n = len(self.items)
             self.items.append((label, words, total))
-            # The rarest token retrieves the exemplar; a second one, if as rare, makes up for damage to the first.
-            best = sorted(set(words), key=lambda w: (-self.weight(w), -len(w), w))[:2]
-            best = best[:1] + [w for w in best[1:] if self.frequencies.get(w, 0) * 500 <= self.rows]
-            for w in best:
+            # Its rarest tokens, until a text without any of them has too little of the exemplar's weight left.
+            spare = (1 - (1.0 if label == "field" else containment)) * total
+            for w in sorted(set(words), key=lambda w: (-self.weight(w), -len(w), w)):
                 self.index[w].append(n)
-            anchors.update(best)
+                if label != "field":
+                    anchors.add(w)
+                spare -= self.weight(w)
+                if spare < 0:
+                    break
         self.anchors = anchors
+        #: Tokens of the exemplars that count only as a whole field.
+        self.alone = {w for label, own, _ in self.items if label == "field" for w in own}
         self._find = None
 
     def weight(self, token: str) -> float:
@@ -266,56 +268,52 @@ class ResidueIndex:
     def __getstate__(self):
         return {**self.__dict__, "_find": None}
 
-    def passage(self, text: str) -> bool:
-        """Whether exemplars fill a passage."""
+    def passage(self, text: str, field: bool = False) -> bool:
+        """Whether exemplars fill a passage; with ``field`` the passage is a whole field, all of which has to be covered by one that counts only alone."""
         words = tokens(text)
-        if not words:
-            return False
         covered = [False] * len(words)
         hit = False
         for n in {n for w in set(words) for n in self.index.get(w, ())}:
-            _, own, total = self.items[n]
+            label, own, total = self.items[n]
+            if (label == "field") != field:
+                continue
             wanted = set(own)
-            width = min(len(words), len(own) + 2)
+            width = len(words) if field else min(len(words), len(own) + 2)
             for at in range(len(words) - width + 1):
-                if sum(map(self.weight, wanted.intersection(words[at : at + width]))) >= self.containment * total:
+                if sum(map(self.weight, wanted.intersection(words[at : at + width]))) >= (0.999 if field else self.containment) * total:
                     hit = True
                     for i in range(at, at + width):
                         covered[i] = covered[i] or words[i] in wanted
         if not hit:
             return False
         every = [self.weight(w) for w in words]
-        return sum(x for x, c in zip(every, covered) if c) >= self.coverage * sum(every)
-
-    def line(self, text: str) -> bool:
-        """Whether the whole line is one of the short exemplars that count only alone."""
-        words = TOKEN.findall(text.lower())
-        return tuple(words) in self.whole
+        return sum(x for x, c in zip(every, covered) if c) >= (0.999 if field else self.coverage) * sum(every)
 
     def matches(self, text: str | None, short: bool = False) -> bool:
-        """Whether a field holds residue. ``short``: titles and modes, where a bare mark or word is the whole field."""
+        """Whether a field holds residue. ``short``: titles and modes, where a bare mark is the whole field."""
         if not text or not text.strip():
             return False
-        if any(SLOT.search(text, max(0, m.start() - 1), m.end() + 90) for m in _SLOT_HINT.finditer(text)):
+        # A slot is an exemplar of one token, contained whole wherever it stands.
+        if _SLOT_HINT.search(text) and SLOT.search(text):
             return True
-        if short and (_BARE_FIELD.match(text) or self.line(text)):
+        if short and _BARE_FIELD.match(text):
             return True
         low = text.lower()
+        first = TOKEN.search(low)
+        if first and first.group() in self.alone and self.passage(low, True):
+            return True
         seen = [end for end, _ in self._automaton().iter(low)]
         for stop in _BREAKS if seen else ():
             done = -1
+            marks = [m.span() for m in stop.finditer(low)]
+            starts, ends = [s for s, _ in marks], [e for _, e in marks]
             for end in seen:
                 if end < done:
                     continue
-                start = max(0, end - 400)
-                for m in stop.finditer(low, start, end):
-                    start = m.end()
-                m = stop.search(low, end, end + 400)
-                done = m.start() if m else min(len(low), end + 400)
-                if self.passage(low[start:done]):
+                before, after = bisect_right(ends, end), bisect_left(starts, end)
+                done = starts[after] if after < len(starts) else len(low)
+                if self.passage(low[ends[before - 1] if before else 0 : done]):
                     return True
-        if len(text) < 60 and self.line(text):
-            return True
         return False
 
     def record(self, title: str | None, full_text: str | None, mode: str | None) -> bool:
