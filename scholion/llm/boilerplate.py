@@ -1,21 +1,22 @@
 """Main text of pages mixed with page furniture, by composite text density (problem 3).
 
 The fields hold pages already flattened to lines, so the document tree is rebuilt from them: the field is the
-body, runs of lines between link blocks are its sections, lines are their blocks, and the parts of a line that a
-page renders as links or controls (menu entries between separators, Markdown links, control phrases, pointers to
-other articles, notices of the site) are its link nodes. Every node has characters C, tags T, link characters LC
-and link tags LT; its composite text density is
+body, its headings open sections, lines hang under their section, and the parts of a line that a page renders as
+links or controls (menu entries between separators, Markdown links, sentences that are controls or notices of the
+site, entries that lead elsewhere) are its link nodes. A line with link nodes is an element of its own, one without
+is a text node of its section. Every node has characters C, tags T, link characters LC and link tags LT; its
+composite text density is
 
     C/T * log_{ln(C*LC/(C-LC+1) + LC_b*C/C_b + e)} (C*T / (LC*LT))
 
-with the body's values marked b. Densities of the children are summed; the section container with the largest sum
-is the main body, and its lines down to the threshold taken along the path from the body are kept. A line all of
-whose characters are link characters has density nought and belongs to the page; a heading carries no link and
-stays with the section that it opens.
+with the body's values marked b, and nought where all is link. Densities of the children are summed; the container
+(the body or a section) with the largest sum is the main one, and the threshold is the least density along the path
+from the body over that container to its thinnest text node. Elements below the threshold belong to the page; text
+nodes belong to the paper. A heading carries no link and stays with the section that it opens.
 
 Defined results: null and empty fields give no lines; lines are counted from 1 and split at line feeds alone;
 blank lines are never reported; a record that occurs twice under one id is reported once; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored; lines are judged alike whatever their length.
 """
 
 from __future__ import annotations
@@ -81,12 +82,19 @@ _HEADING = re.compile(
 _BULLET = re.compile(r"^\s*(?:[*•·–>»▸-]\s+)+")
 _MARKDOWN = re.compile(r"\[[^\]\n]+\]\([^)\s]*\)")
 _SEPARATOR = re.compile(r"\s*[|•·›»/>\t]\s*|\s{2,}|\s+-\s+")
-_POINTER = re.compile(r".{15,240}(?:\(\d{4}\)|\b(?:19|20)\d{2})\s*\Z")
+_POINTER = re.compile(r".{15,}(?:\(\d{4}\)|\b(?:19|20)\d{2})\s*\Z")
 _FRAGMENT = re.compile(r"[{(\d].*\b[a-z]{2,} [a-z]{2,}\b")
 _CJK = re.compile(r"[\u4e00-\u9fff\uff00-\uffef\u3000-\u303f\w\s#(),:>|-]+")
 _TERMINAL = re.compile(r"[.!?。！？…”\"’)\]:;]\s*\Z")
 
 
+_SENTENCES = re.compile(r"(?<=[.!?。！？])\s+")
+#: Words one of which every control or notice of more than one sentence holds.
+_NOTICE = ("cookie", "brows", "privacy", "policy", "settings", "consent", " site", "rights", "copied", "sign ", "subscri", "alerts", "download", "view ", "share", "register", "adjust", "reject", "accept", "隐私")
+#: Longest part of a menu.
+_PART = 34
+
+
 def link_share(line: str, headings: frozenset[str] = frozenset()) -> tuple[int, int, int, int]:
     """Characters, tags, link characters and link tags of a line."""
     text = line.strip()
@@ -95,9 +103,7 @@ def link_share(line: str, headings: frozenset[str] = frozenset()) -> tuple[int,
         return 0, 1, 0, 0
     bullet = _BULLET.match(line)
     core = (line[bullet.end() :] if bullet else text).strip()
-    if not core:
-        return chars, 1, 0, 0
-    if core in headings or _HEADING.fullmatch(core):
+    if not core or core in headings or _HEADING.fullmatch(core):
         return chars, 1, 0, 0
     if CONTROLS.fullmatch(core):
         return chars, 2, chars, 1
@@ -106,18 +112,26 @@ def link_share(line: str, headings: frozenset[str] = frozenset()) -> tuple[int,
         inside = sum(map(len, links))
         rest = len(re.sub(r"\W", "", _MARKDOWN.sub("", core)))
         return chars, 1 + len(links), chars if rest < 4 else inside, len(links)
-    if chars < 220:
-        parts = [p for p in _SEPARATOR.split(core) if p]
-        if len(parts) > 1 and max(map(len, parts)) <= 34 and not (_TERMINAL.search(core) and core[-1] in ".。"):
-            return chars, 1 + len(parts), chars, len(parts)
-        low = core.lower().rstrip(":.… ").strip()
-        if low in MENU_WORDS:
-            return chars, 2, chars, 1
-    if _POINTER.fullmatch(core) or not _TERMINAL.search(core) and not _FRAGMENT.match(core) and 3 * sum(c > "\x7f" for c in core) < chars:
-        # No closed sentence: an entry that leads elsewhere.
+    closed = bool(_TERMINAL.search(core))
+    parts = [p for p in _SEPARATOR.split(core) if p] if core[-1] not in ".。" else []
+    if len(parts) > 1 and max(map(len, parts)) <= _PART:
+        return chars, 1 + len(parts), chars, len(parts)
+    if core.lower().rstrip(":.… ").strip() in MENU_WORDS:
         return chars, 2, chars, 1
-    if not core.isascii() and chars < 60 and not _TERMINAL.search(core) and _CJK.fullmatch(core):
+    if (core[-1] == ")" or core[-1].isdigit()) and _POINTER.fullmatch(core):
         return chars, 2, chars, 1
+    low = core.lower()
+    notice = any(w in low for w in _NOTICE)
+    if closed and not notice:
+        return chars, 1, 0, 0
+    sentences = _SENTENCES.split(core)
+    links = [x for x in sentences if CONTROLS.fullmatch(x)] if notice and len(sentences) > 1 else []
+    last = sentences[-1]
+    if not closed and last not in links and (len(sentences) == 1 or len(last) <= _PART) and (_CJK.fullmatch(last) if 3 * sum(c > "\x7f" for c in last) >= len(last) else not _FRAGMENT.match(last)):
+        # No closed sentence: an entry that leads elsewhere, or a label behind a text.
+        links.append(last)
+    if links:
+        return chars, 1 + len(links), chars if len(links) == len(sentences) else sum(map(len, links)), len(links)
     return chars, 1, 0, 0
 
 
@@ -137,35 +151,37 @@ def page_lines(text: str | None, headings: frozenset[str] = frozenset(), known:
     if not text:
         return []
     lines = text.split("\n")
-    nodes = []
+    #: Sections with their lines: number and counts.
+    sections: list[list[tuple[int, tuple[int, int, int, int]]]] = [[]]
     for n, line in enumerate(lines, 1):
         if not line or line.isspace():
             continue
-        if len(line) > 260:
-            got = (len(line), 1, 0, 0)
-            if CONTROLS.fullmatch(line.strip()) and len(line) < 600:
-                got = (len(line), 2, len(line), 1)
-        elif known is None:
+        got = known.get(line) if known is not None else None
+        if got is None:
             got = link_share(line, headings)
-        else:
-            got = known.get(line)
-            if got is None:
-                got = link_share(line, headings)
-                if len(known) < 50_000 and not headings:
-                    known[line] = got
-        nodes.append((n, line, got))
-    if not nodes:
+            if known is not None and len(known) < 50_000 and not headings:
+                known[line] = got
+        if sections[-1] and _HEADING.fullmatch(line.strip()):
+            sections.append([])
+        sections[-1].append((n, got))
+    if not sections[-1]:
         return []
-    body_chars = sum(x[2][0] for x in nodes)
-    body_links = sum(x[2][2] for x in nodes)
-    # Lines between link blocks form sections; all sections hang under one container, which has the largest density
-    # sum unless there is none. The threshold along the path from the body to the container is the density of the
-    # thinnest node on it, so a line stays if it is at least as dense as its section's own share of the body.
-    sums = [density(*got, body_chars, body_links) for _, _, got in nodes]
-    if not any(sums):
-        return [n for n, _, _ in nodes]
-    threshold = min(d for d in sums if d > 0.0)
-    return [n for (n, _, _), d in zip(nodes, sums) if d < threshold]
+    counts = [tuple(map(sum, zip(*(got for _, got in s)))) for s in sections]
+    body = tuple(map(sum, zip(*counts)))
+    of = lambda got: density(*got, body[0], body[2])
+    dense = [[(n, got, of(got)) for n, got in s] for s in sections]
+    # The container with the largest sum of its children's densities, and the path to it from the body.
+    sums = [sum(d for *_, d in s) for s in dense]
+    of_sections = list(map(of, counts))
+    best = max(range(len(sums)), key=sums.__getitem__)
+    path = [of(body)]
+    inside = dense
+    if sums[best] > sum(of_sections):
+        path.append(of_sections[best])
+        inside = [dense[best]]
+    texts = [d for s in inside for _, got, d in s if not got[3]] or [d for s in dense for _, got, d in s if not got[3]]
+    threshold = min([d for d in path if d > 0.0] + texts, default=0.0)
+    return [n for s in dense for n, got, d in s if got[3] and (d < threshold or d == 0.0)]
 
 
 def find_page_lines(records: DataFrame, id_col: str = "record_id", fields: Sequence[str] = ("full_text", "abstract"), residue: ResidueIndex | None = None, skip_residue: bool = True) -> DataFrame:

@@ -67,3 +67,32 @@ def test_query(spark):
     assert find_page_lines(df.limit(0)).count() == 0
     kept = {r["record_id"]: r["main_text"] for r in main_text(df).collect()}
     assert kept[2] is None and kept[1].split("\n")[1] == "Introduction" and "Menu" not in kept[1]
+
+
+MENU = "Home | Journals | About | Contact"
+NOTICE = "Consent saved 2 days ago."
+MIXED = "The habits of kelp in warm water. " + NOTICE
+
+
+def test_density_alone_decides_on_a_line_that_is_partly_link():
+    """The same line stays or goes with the threshold that the rest of the page sets, and with its share of link characters."""
+    text = "Kelp grows in cold water near the coast of many lands, and few beetles eat of it in any season."
+    assert link_share(MIXED)[2] < link_share(MIXED)[0] and link_share(MIXED)[3] == 1
+    assert page_lines("\n".join([MENU, text, MIXED, text])) == [1, 3]
+    assert page_lines("\n".join([MENU, text, "Kelp is it.", MIXED + " " + text * 9, text])) == [1]  # thin text, much text in the line
+    assert page_lines("\n".join([MENU, text, text, MIXED.replace(NOTICE, "It is so.")])) == [1]
+
+
+def test_the_denser_container_sets_the_threshold(monkeypatch):
+    """Without the formula the answer changes: no word list decides here."""
+    text = "Kelp grows in cold water near the coast of many lands, and few beetles eat of it in any season."
+    page = "\n".join([MENU, text, MIXED, text])
+    monkeypatch.setattr("scholion.llm.boilerplate.density", lambda chars, tags, link_chars, *_: 0.0 if link_chars >= chars else 1.0)
+    assert page_lines(page) == [1]
+
+
+def test_lines_are_judged_alike_whatever_their_length():
+    menu = " | ".join(["Home", "Journals", "About", "Contact"] * 40)
+    text = "Kelp grows in cold water. " * 40
+    assert page_lines("\n".join([menu, text])) == [1]
+    assert page_lines("\n".join(["We use cookies on this site " + "and on many others " * 60 + "too.", text])) == [1]
