@@ -49,12 +49,20 @@ def full_article(title: Column | str, body: Column | str) -> Column:
     return (text(body) != "") & ~blocked(title, body) & ~cookie_wall(title, body) & (low_title != "") & ~low_title.isin(*NO_TITLE) & long_enough
 
 
-def labelled_full_text(mode: Column | str) -> Column:
-    return contains_any(F.lower(squash(mode)), FULL_TEXT)
+#: Statuses of a record whose full text was fetched.
+FETCHED = ("elsevier_api", "pdf", "fulltext")
 
 
-def has_full_text(title: Column | str, body: Column | str, mode: Column | str) -> Column:
-    return (labelled_full_text(mode) & (text(body) != "")) | full_article(title, body)
+def labelled_full_text(mode: Column | str, status: Column | str | None = None, file: Column | str | None = None) -> Column:
+    """Whether a record is said to have its full text: by a file, by its status, or by the words of its mode."""
+    out = contains_any(F.lower(squash(mode)), FULL_TEXT)
+    if status is not None:
+        out = out | F.lower(squash(status)).isin(*FETCHED)
+    return out if file is None else out | (squash(file) != "")
+
+
+def has_full_text(title: Column | str, body: Column | str, mode: Column | str, status: Column | str | None = None, file: Column | str | None = None) -> Column:
+    return (labelled_full_text(mode, status, file) & (text(body) != "")) | full_article(title, body)
 
 
 def text_quality(x: Column | str) -> Column:

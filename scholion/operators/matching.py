@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholion.functions.text import joined, let, norm_tokens, norm_tokens_py, token_text
+from scholion.functions.text import joined, let, norm_tokens, norm_tokens_py, text, token_text
 
 REJECTED = -999
 
@@ -122,19 +122,27 @@ def score(papers: DataFrame, rules: Rules) -> DataFrame:
     return papers.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(let(fields, judge))))
 
 
-def semi(papers: DataFrame, rules: Rules) -> DataFrame:
-    """The papers with a keyword in title or abstract."""
-    return papers.where(let(joined(token_text("title"), token_text("abstract")), lambda t: _any([has(t, rules, k) for k in rules.keywords])))
+def semi(papers: DataFrame, rules: Rules, index_source: str = "pubmed") -> DataFrame:
+    """The papers of the index with a keyword or boost term in title or abstract; papers of other sources pass, and all do without terms."""
+    terms = tuple(dict.fromkeys((*rules.keywords, *rules.boosts)))
+    if not terms:
+        return papers
+    hit = let(joined(token_text("title"), token_text("abstract")), lambda t: _any([has(t, rules, k) for k in terms]))
+    return papers.where((F.lower(text("source")) != index_source) | hit)
 
 
-def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phrase_col: str, sizes: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phrase_col: str, sizes: Sequence[int] | None = None) -> DataFrame:
     """(id, phrase) for every phrase of a table that a text contains, whatever the number of phrases.
 
     N-grams of the texts are joined with the phrases by equality, so the cost grows with the texts and not with
-    texts times phrases.
+    texts times phrases. Without ``sizes`` the runs are those that the phrases have.
     """
     from scholion.functions.text import ngrams
 
-    grams = texts.select(F.col(id_col), F.explode(ngrams(norm_tokens(text_col), sizes)).alias("__gram"))
     keyed = phrases.select(F.col(phrase_col), F.trim(token_text(phrase_col)).alias("__gram")).where("__gram <> ''").distinct()
+    if sizes is None:
+        sizes = sorted(r[0] for r in keyed.select(F.size(F.split("__gram", " "))).distinct().collect())
+    if not sizes:
+        return texts.select(F.col(id_col), F.lit(None).cast("string").alias(phrase_col)).where("false")
+    grams = texts.select(F.col(id_col), F.explode(ngrams(norm_tokens(text_col), sizes)).alias("__gram"))
     return grams.join(keyed, "__gram").select(id_col, phrase_col).distinct()

@@ -45,6 +45,12 @@ def merge(base: DataFrame, extra: DataFrame, key: str, prefer_new: bool = True,
 
 
 def best(rows: DataFrame, key: str, weight: Column, order: Column) -> DataFrame:
-    """The row of each key with the largest weight, of equal ones the first; by a partial aggregate, not a window."""
-    w = rows.select(F.col(key).alias("__k"), F.struct(*rows.columns).alias("__row"), F.struct((-weight).alias("w"), order.alias("o")).alias("__s")).where("__k is not null")
-    return w.groupBy("__k").agg(F.min_by("__row", "__s").alias("__row")).select("__row.*")
+    """The row of each key with the largest whole-number weight, of equal ones the first by a unique order; null weights count as nought.
+
+    Weight and order make one decimal number, so that a hash aggregate finds the best of each key without moving rows;
+    the rows are then joined with it.
+    """
+    rank = F.coalesce(weight, F.lit(0)).cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") - order.cast("decimal(19,0)")
+    w = rows.where(F.col(key).isNotNull()).withColumn("__rank", rank.cast("decimal(38,0)"))
+    top = w.groupBy(key).agg(F.max("__rank").alias("__rank"))
+    return w.join(top, [key, "__rank"]).select(rows.columns)

@@ -27,13 +27,22 @@ def term_statistics(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("docs"), n("in_title").alias("title_docs"), n("in_abstract").alias("abstract_docs"), n("in_keywords").alias("keyword_docs"))
 
 
-def score_terms(stats: DataFrame, least_docs: int = 2, penalties: Sequence[str] = ()) -> DataFrame:
-    """(2 docs + 3 title + abstract - penalty) and half as much again for terms of several words."""
+def score_terms(stats: DataFrame, least_docs: int = 2, penalties: Sequence[str] = (), blacklist: Sequence[str] = ()) -> DataFrame:
+    """(2 docs + 3 title + abstract - penalty) and half as much again for terms of several words.
+
+    A term needs ``least_docs`` documents, or one title or abstract; a single word has to stand in a title or among
+    keywords, and not in the blacklist.
+    """
     words = F.split("term", " ")
     penalty = F.arrays_overlap(words, F.array(*[F.lit(p) for p in penalties])).cast("int") if penalties else F.lit(0)
     base = 2 * F.col("docs") + 3 * F.col("title_docs") + F.col("abstract_docs") - penalty
-    scored = stats.withColumns({"n_words": F.size(words), "score": F.bround(base * F.when(F.size(words) >= 2, 1.5).otherwise(1.0), 2)})
-    return scored.where((F.col("docs") >= least_docs) & ((F.col("n_words") > 1) | (F.col("title_docs") > 0)))
+    n = F.size(words3("term"))
+    scored = stats.withColumns({"n_words": n, "score": F.bround(base * F.when(n >= 2, 1.5).otherwise(1.0), 2)})
+    admitted = (F.col("docs") >= least_docs) | (F.col("title_docs") >= 1) | (F.col("abstract_docs") >= 1)
+    alone = (F.col("title_docs") > 0) | (F.col("keyword_docs") > 0)
+    if blacklist:
+        alone = alone & ~F.col("term").isin(*blacklist)
+    return scored.where(admitted & ((F.col("n_words") != 1) | alone))
 
 
 def rank_terms(scored: DataFrame) -> list:

@@ -15,15 +15,20 @@ def paper_id() -> Column:
     return F.coalesce(*[F.when(text(c) != "", text(c)) for c in ("id", "pmid", "doi", "url")])
 
 
-def first_of_each(rows: DataFrame, keys: Sequence[Column], order: str, aggregate: bool = True) -> DataFrame:
-    """The row with the smallest ``order`` of each key.
+def firsts(rows: DataFrame, keys: Sequence[Column], order: str) -> DataFrame:
+    """The smallest ``order`` of each key: a hash aggregate over the key and one number.
 
-    By a partial aggregate before the shuffle (``min_by`` over the row), so a key that fills a third of the table
-    reaches one reducer as one row a task, not as a third of the table.
+    A key that fills a third of the table reaches its reducer as one row a task.
     """
-    names = [f"__k{i}" for i in range(len(keys))]
-    keyed = rows.select(*[k.alias(n) for k, n in zip(keys, names)], F.struct(*rows.columns).alias("__row"), F.col(order).alias("__o"))
-    return keyed.groupBy(*names).agg(F.min_by("__row", "__o").alias("__row")).select("__row.*")
+    return rows.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(order).alias(order)).select(order)
+
+
+def first_of_each(rows: DataFrame, keys: Sequence[Column], order: str, among: DataFrame | None = None) -> DataFrame:
+    """The row with the smallest ``order`` (unique) of each key; ``among`` is the table the firsts are looked for in, where ``rows`` was derived from it at a price.
+
+    Only keys and numbers are aggregated; the rows are joined with the firsts by the number alone.
+    """
+    return rows.join(firsts(rows if among is None else among, keys, order), order, "left_semi")
 
 
 def paper_key() -> list[Column]:
@@ -65,13 +70,19 @@ def buckets(ranked: DataFrame, by: Sequence[str], order: Sequence[Column], point
 def update_history(history: DataFrame, papers: DataFrame, today: str, keep_days: int) -> DataFrame:
     """id, date, title, source: papers not yet known join with today's date, known ones keep the earlier date, old ones go.
 
+    A paper's key is its id, else its DOI, else its address.
+
     Dates are texts and compared as such; undated entries are dropped with the old ones.
     """
-    known = history.select(text("id").alias("id"), text("date").alias("date"), text("title").alias("title"), text("source").alias("source"), F.lit(0).alias("__new"))
-    new = papers.select(text("id").alias("id"), F.lit(today).alias("date"), text("title").alias("title"), text("source").alias("source"), F.lit(1).alias("__new"))
-    both = known.unionByName(new).where("id <> ''")
-    row = F.struct("__new", "title", "source", "date")
-    merged = both.groupBy("id").agg(F.min(row).alias("r"), F.max("__new").alias("seen"), F.min("__new").alias("old"))
-    kept = F.when((F.col("old") == 0) & (F.col("seen") == 1) & (F.col("r.date") > today), F.lit(today)).otherwise(F.col("r.date"))
-    out = merged.select("id", kept.alias("date"), F.col("r.title").alias("title"), F.col("r.source").alias("source"))
+    own = F.trim(F.coalesce(*[F.when(text(c) != "", text(c)) for c in ("id", "doi", "url")], F.lit("")))
+    known = history.select("entry_id", F.trim(text("id")).alias("id"), text("date").alias("date"), text("title").alias("title"), text("source").alias("source")).where("id <> ''")
+    new = papers.select("entry_id", own.alias("id"), F.lit(today).alias("date"), text("title").alias("title"), text("source").alias("source")).where("id <> ''")
+    # Of a repeated id the last row of the history and the first of the papers count; numbers are aggregated, not rows.
+    span = known.select("id", F.col("entry_id").alias("k"), F.lit(None).cast("long").alias("n")).unionByName(new.select("id", F.lit(None).cast("long").alias("k"), F.col("entry_id").alias("n")))
+    chosen = span.groupBy("id").agg(F.max("k").alias("k"), F.min("n").alias("n"))
+    picks = chosen.select(F.coalesce("k", "n").alias("entry_id"), F.col("k").isNotNull().alias("__old"), F.col("n").isNotNull().alias("__seen"))
+    rows = known.withColumn("__k", F.lit(True)).unionByName(new.withColumn("__k", F.lit(False)))
+    t = rows.join(picks, (rows["entry_id"] == picks["entry_id"]) & (rows["__k"] == picks["__old"]))
+    kept = F.when(F.col("__old") & F.col("__seen") & (F.col("date") > today), F.lit(today)).otherwise(F.col("date"))
+    out = t.select("id", kept.alias("date"), "title", "source")
     return out.where(F.col("date") >= F.date_format(F.date_sub(F.lit(today).cast("date"), keep_days), "yyyy-MM-dd"))

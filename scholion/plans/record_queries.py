@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scholion.functions import html, records, text as tx
 from scholion.operators import evidence, rules
 from scholion.plans import sql
+from scholion.plans.triage_queries import _full
 from scholion.session import table
 
 _Q: dict[str, Callable] = {}
@@ -25,10 +26,11 @@ def query(oracle: str | None = None):
     return add
 
 
-_KIND = """CASE WHEN trim(coalesce({v}, '')) = '' THEN 'unknown' WHEN regexp_matches(lower(trim({v})), '^10\\.\\d{{4,9}}/|^doi:|^https?://(dx\\.)?doi\\.org/') THEN 'doi'
- WHEN regexp_matches(lower(trim({v})), '^https?://') AND regexp_matches(lower(trim({v})), '\\.pdf($|[?#])') THEN 'pdf_url' WHEN regexp_matches(lower(trim({v})), '^https?://[^/]*(biorxiv|medrxiv)\\.') THEN 'preprint'
- WHEN regexp_matches(lower(trim({v})), '^https?://[^/]*pmc\\.|/articles/pmc\\d+') THEN 'pmc' WHEN regexp_matches(lower(trim({v})), '^https?://') THEN 'web' WHEN regexp_matches(lower(trim({v})), '\\.pdf$') THEN 'pdf_file'
- WHEN regexp_matches(lower(trim({v})), '^pmc\\d+$') THEN 'pmc' WHEN regexp_matches(lower(trim({v})), '^(pmid:?\\s*)?\\d{{5,9}}$') THEN 'pmid' ELSE 'unknown' END"""
+_v = "trim(coalesce({v}, ''))"
+_DOI = f"""CASE WHEN regexp_matches({_v}, '^https?://(dx\\.)?doi\\.org/.') THEN 'x' WHEN regexp_matches({_v}, '^10\\.\\d{{{{4,9}}}}/\\S') THEN 'x' WHEN regexp_matches({_v}, '(?i)/doi/(abs/|full/|pdf/)?10\\.\\d{{{{4,9}}}}/[^\\s?#"'']') THEN 'x' ELSE '' END"""
+_KIND = f"""CASE WHEN regexp_matches(lower({_v}), '^https?://') THEN CASE WHEN contains({_v}, 'pubmed.ncbi.nlm.nih.gov') THEN 'pubmed_url' WHEN contains({_v}, 'pmc.ncbi.nlm.nih.gov') THEN 'pmc_url'
+ WHEN ends_with(lower({_v}), '.pdf') THEN 'pdf_url' WHEN regexp_matches(lower({_v}), 'oup\\.com|pnas\\.org|sciencedirect\\.com|nature\\.com|wiley\\.com|springer\\.com') THEN 'web_url' WHEN {_DOI} <> '' THEN 'doi' ELSE 'web_url' END
+ WHEN {_DOI} <> '' THEN 'doi' WHEN regexp_matches(lower({_v}), '[^/]\\.pdf$') THEN 'local_pdf' ELSE 'web_url' END"""
 
 
 @query(f"SELECT entry_id, {_KIND.format(v='id')} AS id_kind, {_KIND.format(v='pdf')} AS pdf_kind, {_KIND.format(v='url')} AS url_kind FROM papers")
@@ -59,23 +61,32 @@ SELECT record_id, CAST(pos AS INTEGER) AS pos, CAST(
       WHEN regexp_matches(w, '^\\s*(fig(ure)?\\.?\\s*1\\b|1[.)])') THEN 120 WHEN regexp_matches(w, '\\bfig(ure)?\\.?\\s*1\\b') THEN 35 ELSE 0 END
  + CASE WHEN regexp_matches(a, '(^|[-_/])(fig(ure)?[-_]?[2-9]|f[2-9]|gr[2-9])(\\.|[-_/]|$)|[a-z0-9]+f[2-9]\\.(jpe?g|png|webp|gif)') THEN -120 ELSE 0 END
  + CASE WHEN regexp_matches(a || ' ' || w, 'graphical abstract|ga1\\.|[-_/]fa\\.|unfig') THEN -90 ELSE 0 END + CASE WHEN contains(a, '/view-large/figure/') THEN 100 ELSE 0 END
- + CASE WHEN regexp_matches(a || ' ' || w, 'logo|spinner|icon|avatar|advert') THEN -200 ELSE 0 END AS INTEGER) AS points FROM p""")
+ + CASE WHEN regexp_matches(a || ' ' || w, 'logo|spinner|icon|avatar|advert') THEN -200 ELSE 0 END + CASE WHEN f.source IN ('figure', 'dom_figure', 'dom_view_large') THEN 20 ELSE 0 END AS INTEGER) AS points FROM p""")
 def figure_scores(spark, sf):
     t = table(spark, sf, "reader_records").select("record_id", F.posexplode("figure_items").alias("p", "f"))
     return t.select("record_id", (F.col("p") + 1).alias("pos"), records.figure_points(F.col("f")).alias("points"))
 
 
-@query(_ITEMS + """, k AS (SELECT record_id, pos, coalesce(nullif(f.source_url, ''), nullif(f.src, ''), nullif(f.path, '')) AS address FROM i),
-d AS (SELECT record_id, address, min(pos) AS pos FROM k WHERE address IS NOT NULL GROUP BY 1, 2)
-SELECT record_id, CAST(pos AS INTEGER) AS pos, address FROM d QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY pos) <= 3""")
+_POINTS = _ITEMS + """, p AS (SELECT record_id, pos, f, lower(coalesce(f.src, '') || ' ' || coalesce(f.href, '')) AS a, lower(coalesce(f.caption, '') || ' ' || coalesce(f.alt, '')) AS w FROM i)
+SELECT record_id, CAST(pos AS INTEGER) AS pos, CAST(
+ CASE WHEN regexp_matches(a, '(^|[-_/])(fig(ure)?[-_]?0?1|f0?1|gr1)(\\.|[-_/]|$)') THEN 220 WHEN regexp_matches(a, '[a-z0-9]+f0?1\\.(jpe?g|png|webp|gif)') THEN 180
+      WHEN regexp_matches(w, '^\\s*(fig(ure)?\\.?\\s*1\\b|1[.)])') THEN 120 WHEN regexp_matches(w, '\\bfig(ure)?\\.?\\s*1\\b') THEN 35 ELSE 0 END
+ + CASE WHEN regexp_matches(a, '(^|[-_/])(fig(ure)?[-_]?[2-9]|f[2-9]|gr[2-9])(\\.|[-_/]|$)|[a-z0-9]+f[2-9]\\.(jpe?g|png|webp|gif)') THEN -120 ELSE 0 END
+ + CASE WHEN regexp_matches(a || ' ' || w, 'graphical abstract|ga1\\.|[-_/]fa\\.|unfig') THEN -90 ELSE 0 END + CASE WHEN contains(a, '/view-large/figure/') THEN 100 ELSE 0 END
+ + CASE WHEN regexp_matches(a || ' ' || w, 'logo|spinner|icon|avatar|advert') THEN -200 ELSE 0 END + CASE WHEN f.source IN ('figure', 'dom_figure', 'dom_view_large') THEN 20 ELSE 0 END AS INTEGER) AS points, f FROM p"""
+
+
+@query(f"""WITH s AS ({_POINTS}), k AS (SELECT record_id, pos, points, coalesce(nullif(f.source_url, ''), nullif(f.src, ''), nullif(f.path, '')) AS address FROM s),
+d AS (SELECT * FROM k WHERE address IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id, address ORDER BY points DESC, pos) = 1)
+SELECT record_id, pos, points, address FROM d QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY points DESC, pos) <= 3""")
 def top_figures(spark, sf):
-    present = lambda c: F.when(F.coalesce(F.col(f"f.{c}"), F.lit("")) != "", F.col(f"f.{c}"))
-    t = table(spark, sf, "reader_records").select("record_id", F.posexplode("figure_items").alias("p", "f"))
-    t = t.select("record_id", (F.col("p") + 1).alias("pos"), F.coalesce(present("source_url"), present("src"), present("path")).alias("address")).where("address is not null")
-    first = t.groupBy("record_id", "address").agg(F.min("pos").alias("pos"))
-    # The figures of a record are a short list: sorted as an array, no window over the table.
-    best = first.groupBy("record_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "address"))), 1, 3).alias("b"))
-    return best.select("record_id", F.explode("b").alias("b")).select("record_id", "b.pos", "b.address")
+    present = lambda f, c: F.when(F.coalesce(f[c], F.lit("")) != "", f[c])
+    item = lambda f, i: F.struct((-records.figure_points(f)).alias("worst"), (i + 1).alias("pos"), F.coalesce(*[present(f, c) for c in ("source_url", "src", "path")]).alias("address"))
+    # The figures of a record are a short list, sorted inside the row; of an address the best comes first.
+    ranked = F.array_sort(F.filter(F.transform(F.col("figure_items"), item), lambda k: k["address"].isNotNull()))
+    once = F.filter(ranked, lambda k, i: F.array_position(F.transform(ranked, lambda o: o["address"]), k["address"]) == i + 1)
+    t = table(spark, sf, "reader_records").select("record_id", F.explode(F.slice(once, 1, 3)).alias("k"))
+    return t.select("record_id", "k.pos", (-F.col("k.worst")).alias("points"), "k.address")
 
 
 @query(f"""WITH c AS (SELECT record_id, list_filter(list_transform(coalesce(figure_items, []), lambda i: {sql.squash("coalesce(nullif(i.caption, ''), i.alt)")}), lambda s: s <> '') AS s FROM reader_records)
@@ -107,16 +118,15 @@ def note_index(spark, sf):
     return rules.lookup_index(table(spark, sf, "papers").where(tx.text("url") != ""), "url", "entry_id")
 
 
-@query(f"SELECT record_id, CAST(length({sql.squash('full_text')}) + 5000 * least(len(coalesce(figure_items, [])), 4) + 500 * least(len(coalesce(section_headers, [])), 10) + CASE WHEN {sql.squash('title')} <> '' THEN 2000 ELSE 0 END AS INTEGER) AS quality FROM reader_records")
-def snapshot_lengths(spark, sf):
+@query(f"SELECT record_id, CAST(CASE WHEN {_full} THEN 100000 ELSE 0 END + length({sql.squash('full_text')}) + 5000 * least(len(coalesce(figure_items, [])), 4) + 500 * least(len(coalesce(section_headers, [])), 10) + CASE WHEN {sql.squash('title')} <> '' THEN 2000 ELSE 0 END AS INTEGER) AS quality FROM reader_records")
+def snapshot_quality(spark, sf):
     r = table(spark, sf, "reader_records")
-    full = F.when(evidence.full_article("title", "full_text"), 100_000).otherwise(0)
-    return r.select("record_id", (evidence.snapshot_quality("title", "full_text", F.col("figure_items"), F.col("section_headers")) - full).alias("quality"))
+    return r.select("record_id", evidence.snapshot_quality("title", "full_text", F.col("figure_items"), F.col("section_headers")).alias("quality"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' ELSE printf('%.2f', n_chars / 1024.0) || ' KB' END AS size FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' WHEN n_chars < 1048576 THEN printf('%.2f', n_chars / 1024.0) || ' KB' ELSE printf('%.2f', n_chars / 1048576.0) || ' MB' END AS size FROM documents")
 def document_sizes(spark, sf):
-    return table(spark, sf, "documents").where("n_chars < 1048576").select("doc_id", records.byte_text("n_chars").alias("size"))
+    return table(spark, sf, "documents").select("doc_id", records.byte_text("n_chars").alias("size"))
 
 
 @query("""SELECT entry_id, CASE WHEN trim(coalesce(date, '')) = '' THEN 'empty' WHEN regexp_matches(trim(date), '^-?\\d+$') THEN 'int' WHEN regexp_matches(trim(date), '^-?\\d+\\.\\d+$') THEN 'float' WHEN lower(trim(date)) IN ('true', 'false') THEN 'bool' ELSE 'text' END AS kind FROM papers""")
@@ -149,10 +159,14 @@ def enrichment_branches(spark, sf):
     return table(spark, sf, "reader_records").select("record_id", none.alias("none"), F.when(tx.squash("full_text") == "", "abstract").otherwise("full").alias("branch"))
 
 
-@query("""SELECT source, event_type, count(*) AS n FROM (SELECT CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS source, event_type FROM events) GROUP BY ALL""")
+@query(f"""WITH p AS (SELECT entry_id, source, list_transform(coalesce(keywords, []), lambda k: lower(k)) AS tags, lower(coalesce(title, '')) AS title FROM papers),
+s AS (SELECT entry_id, source, tags, list_sort([{', '.join(f"struct_pack(p := {_points(k)}, o := {-i}, c := '{c}')" for i, (c, k) in enumerate(_RULES))}])[-1] AS b FROM p)
+SELECT source, CASE WHEN len(tags) > 0 AND b.p > 0 THEN b.c ELSE 'inbox' END AS category, count(*) AS n FROM s GROUP BY 1, 2""")
 def distribution(spark, sf):
-    t = table(spark, sf, "events").select(F.when(F.col("value") > 50, "high").otherwise("low").alias("source"), "event_type")
-    return t.groupBy("source", "event_type").agg(F.count("*").alias("n"))
+    papers = table(spark, sf, "papers")
+    # The key carries the source along, so that no join is needed to count by it.
+    found = rules.categories(papers.withColumn("key", F.struct("source", "entry_id")), "key", "keywords", "title", _RULES)
+    return found.groupBy(F.col("key.source").alias("source"), "category").agg(F.count("*").alias("n"))
 
 
 @query("""WITH k AS (SELECT unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL) SELECT key, count(*) AS n FROM k GROUP BY key""")

@@ -82,7 +82,7 @@ def scores(spark, sf):
     return _scored(spark, sf).select("entry_id", F.array_join("matched", ";").alias("matched"), F.array_join("boosted", ";").alias("boosted"), "veto", "points")
 
 
-@query(_BASE + f"SELECT entry_id FROM tok WHERE {' OR '.join(sql.has(sql.padded('list_concat(tt, ta)'), RULES, k) for k in RULES.keywords)}")
+@query(_BASE + f"SELECT entry_id FROM tok WHERE lower(coalesce(source, '')) <> 'pubmed' OR {' OR '.join(sql.has(sql.padded('list_concat(tt, ta)'), RULES, k) for k in (*RULES.keywords, *RULES.boosts))}")
 def keyword_prefilter(spark, sf):
     return matching.semi(_papers(spark, sf), RULES).select("entry_id")
 
@@ -94,11 +94,11 @@ def frequent_keywords(spark, sf):
 
 
 @query(f"""WITH t AS (SELECT entry_id, {sql.padded(sql.tokens('abstract'))} AS a FROM papers),
-s AS (SELECT k AS phrase, {sql.padded(sql.tokens('k'))} AS p FROM (SELECT DISTINCT unnest(keywords) AS k FROM papers) WHERE len({sql.tokens('k')}) BETWEEN 1 AND 4)
+s AS (SELECT k AS phrase, {sql.padded(sql.tokens('k'))} AS p FROM (SELECT DISTINCT unnest(keywords) AS k FROM papers) WHERE len({sql.tokens('k')}) > 0)
 SELECT entry_id, phrase FROM t JOIN s ON contains(a, p)""")
 def phrase_pairs(spark, sf):
     phrases = _papers(spark, sf).select(F.explode("keywords").alias("phrase")).distinct()
-    return matching.pairs(spread(_papers(spark, sf).select("entry_id", "abstract")), "entry_id", "abstract", phrases, "phrase", (1, 2, 3, 4))
+    return matching.pairs(spread(_papers(spark, sf).select("entry_id", "abstract")), "entry_id", "abstract", phrases, "phrase")
 
 
 @query(f"SELECT entry_id, array_to_string({sql.unique_ci('list_concat(coalesce(matched_keywords, []), coalesce(matched_boost_keywords, []))')}, '; ') AS words FROM papers")
@@ -131,7 +131,9 @@ _SELECTED = _BASE + f"""
 
 
 def _selected(spark, sf) -> DataFrame:
-    once = ranking.first_of_each(_scored(spark, sf), ranking.paper_key(), "entry_id")
+    # Judged first, so that no abstract is shuffled; the firsts come from a narrow scan of their own.
+    narrow = _scored(spark, sf).drop("abstract", "keywords")
+    once = ranking.first_of_each(narrow, ranking.paper_key(), "entry_id", _papers(spark, sf))
     fresh = ranking.drop_known(once, table(spark, sf, "history"), ranking.paper_id()).where(ranking.paper_id().isNotNull() & (F.col("points") >= RULES.min_score))
     return ranking.top_k(fresh, ranking.order_papers(), 100)
 
@@ -176,7 +178,8 @@ _short = f"trim(substring(trim(array_to_string({_marked}[1:2], ' ')), 1, 420))"
 @query(_RANKED + f"""SELECT batch_date, bucket, CAST(rank AS INTEGER) AS rank, concat_ws(chr(10), '### ' || rank || '. ' || {_clean}, '- score: ' || points, CASE WHEN {_words} <> '' THEN '- keywords: ' || {_words} END,
  CASE WHEN {_links} <> '' THEN '- links: ' || {_links} END, CASE WHEN coalesce(abstract, '') <> '' THEN '> ' || {_short} END) AS lines FROM bucketed""")
 def report(spark, sf):
-    return sinks.report_lines(_ranked(spark, sf), "batch_date").select("batch_date", "bucket", "rank", "lines")
+    ranked = _ranked(spark, sf).join(_papers(spark, sf).select("entry_id", "abstract"), "entry_id")
+    return sinks.report_lines(ranked, "batch_date").select("batch_date", "bucket", "rank", "lines")
 
 
 @query(_BASE + f"""
@@ -191,9 +194,9 @@ _TODAY, _KEEP = "2026-01-20", 730
 
 
 @query(f"""
-WITH k AS (SELECT id, coalesce(date, '') AS date, coalesce(title, '') AS title, coalesce(source, '') AS source FROM history WHERE coalesce(id, '') <> ''),
-n AS (SELECT id, '{_TODAY}' AS date, coalesce(title, '') AS title, coalesce(source, '') AS source FROM papers WHERE coalesce(id, '') <> ''
-      QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(title, ''), coalesce(source, '')) = 1),
+WITH k AS (SELECT trim(id) AS id, coalesce(date, '') AS date, coalesce(title, '') AS title, coalesce(source, '') AS source FROM history WHERE trim(coalesce(id, '')) <> '' QUALIFY row_number() OVER (PARTITION BY trim(id) ORDER BY entry_id DESC) = 1),
+u AS (SELECT *, trim(coalesce(nullif(id, ''), nullif(doi, ''), nullif(url, ''), '')) AS key FROM papers),
+n AS (SELECT key AS id, '{_TODAY}' AS date, coalesce(title, '') AS title, coalesce(source, '') AS source FROM u WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY entry_id) = 1),
 m AS (SELECT coalesce(k.id, n.id) AS id, CASE WHEN k.id IS NULL THEN n.date WHEN n.id IS NOT NULL AND k.date > '{_TODAY}' THEN '{_TODAY}' ELSE k.date END AS date,
              coalesce(k.title, n.title) AS title, coalesce(k.source, n.source) AS source FROM k FULL JOIN n ON k.id = n.id)
 SELECT * FROM m WHERE date >= strftime(DATE '{_TODAY}' - INTERVAL {_KEEP} DAY, '%Y-%m-%d')""")
@@ -265,9 +268,13 @@ f AS (SELECT entry_id, coalesce(a.quartile, b.quartile, c.quartile) AS quartile
 @query(_FALL + "SELECT entry_id, CAST(quartile AS INTEGER) AS quartile FROM f WHERE coalesce(quartile, 99) <= 2")
 def journal_quartile(spark, sf):
     q = articles.quartiles(table(spark, sf, "journal_quartiles")).select("key", "quartile")
-    p = _papers(spark, sf).select("entry_id", F.posexplode(F.transform(tx.journal_aliases("journal"), tx.journal_key)).alias("pos", "key"))
-    # Distinct keys are few; the first alias that hits wins.
-    hit = p.join(q, "key").groupBy("entry_id").agg(F.min_by("quartile", "pos").alias("quartile"))
+    keys = F.transform(tx.journal_aliases("journal"), tx.journal_key)
+    hit = _papers(spark, sf).select("entry_id", keys.alias("keys"))
+    # The list of journals is small: it is looked up once for each alias, and papers are not shuffled. The first hit wins.
+    for i in (1, 2, 3):
+        own = q.select(F.col("key").alias(f"k{i}"), F.col("quartile").alias(f"q{i}"))
+        hit = hit.join(own, F.try_element_at("keys", F.lit(i)) == F.col(f"k{i}"), "left")
+    hit = hit.withColumn("quartile", F.coalesce("q1", "q2", "q3"))
     return hit.where(F.coalesce("quartile", F.lit(99)) <= 2).select("entry_id", F.col("quartile").cast("int").alias("quartile"))
 
 
@@ -334,19 +341,19 @@ _full = f"""(coalesce(full_text, '') <> '' AND NOT {sql.contains_any(_hay(4000),
  AND ({sql.section_hits('full_text')} >= 2 OR ({sql.section_hits('full_text')} >= 1 AND length({_clean_body}) >= 4500) OR (length({_clean_body}) >= 6000 AND {sql.contains_any(f'lower({_clean_body})', evidence.RESEARCH)})))"""
 
 
-@query(f"SELECT record_id, {_full} AS is_full, ({sql.contains_any(f'lower({sql.squash(_mode)})', evidence.FULL_TEXT)} AND coalesce(full_text, '') <> '') OR {_full} AS has_text FROM reader_records")
+@query(f"SELECT record_id, {_full} AS is_full, (({sql.contains_any(f'lower({sql.squash(_mode)})', evidence.FULL_TEXT)} OR lower({sql.squash('acquisition_path')}) IN ('elsevier_api', 'pdf', 'fulltext')) AND coalesce(full_text, '') <> '') OR {_full} AS has_text FROM reader_records")
 def full_text_evidence(spark, sf):
-    return table(spark, sf, "reader_records").select("record_id", evidence.full_article("title", "full_text").alias("is_full"), evidence.has_full_text("title", "full_text", "summary_mode").alias("has_text"))
+    return table(spark, sf, "reader_records").select("record_id", evidence.full_article("title", "full_text").alias("is_full"), evidence.has_full_text("title", "full_text", "summary_mode", "acquisition_path").alias("has_text"))
 
 
 @query("""
 WITH l AS (SELECT record_id, unnest(string_split(full_text, chr(10))) AS line, generate_subscripts(string_split(full_text, chr(10)), 1) AS line_no FROM reader_records WHERE full_text IS NOT NULL),
 b AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(\\d+\\. )?[A-Z][A-Za-z ]{2,30}$') THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY line_no) AS block FROM l)
-SELECT record_id, CAST(block AS BIGINT) AS block, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM b GROUP BY 1, 2""")
+SELECT record_id, CAST(block AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM b GROUP BY 1, 2""")
 def section_blocks(spark, sf):
     t = table(spark, sf, "reader_records").where("full_text is not null")
-    t = lines.blocks(lines.explode_lines(t, "record_id", "full_text"), "record_id", F.col("line").rlike(r"^(\d+\. )?[A-Z][A-Za-z ]{2,30}$"))
-    return t.groupBy("record_id", "block").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    t = lines.blocks(t, "record_id", "full_text", r"(?:\d+\. )?[A-Z][A-Za-z ]{2,30}")
+    return t.select("record_id", "block", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.length(line)).alias("n_chars"))
 
 
 @query("""
@@ -375,8 +382,8 @@ def document_frequencies(spark, sf):
     return profile.term_statistics(profile.document_terms(spread(_papers(spark, sf).select("entry_id", "title", "abstract", "keywords")), "entry_id"))
 
 
-@query(_TERMS + """, sc AS (SELECT *, len(string_split(term, ' ')) AS n, (2 * docs + 3 * title_docs + abstract_docs - CASE WHEN list_has_any(string_split(term, ' '), ['using', 'study']) THEN 1 ELSE 0 END) * CASE WHEN len(string_split(term, ' ')) >= 2 THEN 1.5 ELSE 1.0 END AS score FROM d)
-SELECT term, docs, CAST(score AS DOUBLE) AS score FROM sc WHERE docs >= 2 AND (n > 1 OR title_docs > 0) ORDER BY score DESC, docs DESC, title_docs DESC, abstract_docs DESC, term LIMIT 80""")
+@query(_TERMS + """, sc AS (SELECT *, len(regexp_extract_all(term, '[A-Za-z][A-Za-z-]{2,}')) AS n, (2 * docs + 3 * title_docs + abstract_docs - CASE WHEN list_has_any(string_split(term, ' '), ['using', 'study']) THEN 1 ELSE 0 END) * CASE WHEN len(regexp_extract_all(term, '[A-Za-z][A-Za-z-]{2,}')) >= 2 THEN 1.5 ELSE 1.0 END AS score FROM d)
+SELECT term, docs, CAST(score AS DOUBLE) AS score FROM sc WHERE (docs >= 2 OR title_docs >= 1 OR abstract_docs >= 1) AND (n <> 1 OR title_docs > 0 OR keyword_docs > 0) ORDER BY score DESC, docs DESC, title_docs DESC, abstract_docs DESC, term LIMIT 80""")
 def profile_ranking(spark, sf):
     stats = profile.term_statistics(profile.document_terms(spread(_papers(spark, sf).select("entry_id", "title", "abstract", "keywords")), "entry_id"))
     scored = profile.score_terms(stats, penalties=("using", "study"))
@@ -396,7 +403,7 @@ def method_names(spark, sf):
 
 # Merging and library tables.
 
-@query(f"""WITH b AS (SELECT pmid, unnest(min_by(struct_pack(journal := journal, doi := doi, title := title), struct_pack(w := -score, o := entry_id))) FROM papers WHERE pmid IS NOT NULL GROUP BY pmid)
+@query(f"""WITH b AS (SELECT pmid, unnest(min_by(struct_pack(journal := journal, doi := doi, title := title), struct_pack(w := -coalesce(score, 0), o := entry_id))) FROM papers WHERE pmid IS NOT NULL GROUP BY pmid)
 SELECT r.record_id, coalesce(nullif(r.journal, ''), nullif(b.journal, ''), r.journal) AS journal, coalesce(nullif(r.doi, ''), nullif(b.doi, ''), r.doi) AS doi, coalesce(nullif(b.title, ''), nullif(r.title, ''), r.title) AS title
 FROM reader_records r LEFT JOIN b ON r.pmid = b.pmid""")
 def merged_records(spark, sf):
@@ -405,7 +412,7 @@ def merged_records(spark, sf):
     return merging.merge(base, other, "pmid", prefer_new=False, always_new=("title",)).select("record_id", "journal", "doi", "title")
 
 
-@query("SELECT pmid, arg_min(entry_id, struct_pack(w := -score, o := entry_id)) AS entry_id FROM papers WHERE pmid IS NOT NULL GROUP BY pmid")
+@query("SELECT pmid, arg_min(entry_id, struct_pack(w := -coalesce(score, 0), o := entry_id)) AS entry_id FROM papers WHERE pmid IS NOT NULL GROUP BY pmid")
 def best_candidate(spark, sf):
     return merging.best(_papers(spark, sf).select("pmid", "entry_id", "score"), "pmid", F.col("score"), F.col("entry_id")).select("pmid", "entry_id")
 
