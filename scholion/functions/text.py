@@ -226,6 +226,11 @@ def find_doi(x: Column | str) -> Column:
     return F.rtrim(F.regexp_extract(text(x), r"(?i)\b(10\.\d{4,9}/[^\s\"'<>]+)", 1), F.lit(".,;)]}"))
 
 
+def doi_in_text(x: Column | str) -> Column:
+    """The first DOI in running text: letters, figures and the marks of DOIs alone."""
+    return F.rtrim(F.regexp_extract(text(x), r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1), F.lit(").,;]"))
+
+
 def preprint_version(x: Column | str) -> Column:
     return F.regexp_extract(text(x), r"(?i)10\.\d{4,9}/\S+?v(\d+)\b", 1)
 

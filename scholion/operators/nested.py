@@ -127,15 +127,74 @@ class TripleParser:
 
 
 def pivot(triples: list[tuple[str, int, int, str, str | None]]) -> dict[str, dict[tuple[int, int], dict[str, str]]]:
-    """Group name to (pos, sub_pos) to leaf values: one row for each occurrence of the group's ancestor."""
+    """Group name to (pos, sub_pos) to leaf values: one row for each occurrence of the group's ancestor.
+
+    A leaf that occurs again under one ancestor is kept under its name with ``#2``, ``#3`` and so on.
+    """
     tables: dict[str, dict[tuple[int, int], dict[str, str]]] = defaultdict(dict)
     for name, pos, sub_pos, leaf, value in triples:
         row = tables[name].setdefault((pos, sub_pos), {})
-        if leaf and leaf not in row:
-            row[leaf] = value
+        if leaf:
+            own, n = leaf, 1
+            while own in row:
+                n += 1
+                own = f"{leaf}#{n}"
+            row[own] = value
     return tables
 
 
+def repeated_paths(records: DataFrame, id_col: str, payload_col: str, most_paths: int = 10_000) -> list[str]:
+    """The paths that occur more than once under one parent in any record: the repeated ancestors by which leaves are grouped.
+
+    Counted in one pass over all records; a distinct path a task reaches the driver, and more than ``most_paths`` of
+    them (a schema is small) is an error.
+    """
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for b in batches:
+            for payload in b.column(1).to_pylist():
+                if payload and payload.strip():
+                    counts: list[dict[str, int]] = [{}]
+                    path: list[str] = []
+
+                    def start(tag: str, attrs: dict, counts: list = counts, path: list = path) -> None:
+                        path.append(tag)
+                        counts[-1][tag] = counts[-1].get(tag, 0) + 1
+                        if counts[-1][tag] > 1:
+                            found.add("/".join(path))
+                        counts.append({})
+
+                    def end(tag: str, counts: list = counts, path: list = path) -> None:
+                        path.pop()
+                        counts.pop()
+
+                    parser = expat.ParserCreate()
+                    parser.StartElementHandler, parser.EndElementHandler = start, end
+                    try:
+                        parser.Parse(payload.strip(), True)
+                    except expat.ExpatError:
+                        continue
+        yield _batch([sorted(found)], [pa.string()], ["path"])
+
+    got = [r[0] for r in _picked(records, id_col, payload_col).mapInArrow(scan, "path string").distinct().limit(most_paths + 1).collect()]
+    if len(got) > most_paths:
+        raise ValueError(f"more than {most_paths} repeated paths")
+    return sorted(got)
+
+
+def derived_groups(records: DataFrame, id_col: str, payload_col: str) -> tuple[Group, ...]:
+    """A group for each repeated path of the records, named by its last element (by its path where two share it), nested in the nearest group above it."""
+    paths = repeated_paths(records, id_col, payload_col)
+    last = [p.rsplit("/", 1)[-1] for p in paths]
+    names = {p: n if last.count(n) == 1 else p for p, n in zip(paths, last)}
+    out = []
+    for p in paths:
+        above = [q for q in paths if p.startswith(q + "/")]
+        out.append(Group(names[p], p, ((".", "text"),), names[max(above, key=len)] if above else None))
+    return tuple(out)
+
+
 def xml_triples(records: DataFrame, id_col: str, payload_col: str, groups: tuple[Group, ...] = ARTICLE) -> DataFrame:
     """The long form: parent_id, child, pos, sub_pos, path, value."""
 

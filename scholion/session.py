@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,12 +41,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session gets a temporary folder of its own; a cluster is refused."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = getattr(spark, "_scholion_dir", None)
         if not set_dir:
             set_dir = spark._scholion_dir = tempfile.mkdtemp(prefix="scholion-")
+            atexit.register(shutil.rmtree, set_dir, ignore_errors=True)
     return set_dir.rstrip("/")
 
 
@@ -59,7 +63,3 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith(("/", "file:")) and os.path.isdir(path.removeprefix("file://"))

@@ -96,8 +96,30 @@ def test_duplicates_and_history(spark):
 def test_history_update(spark):
     old = [("a", "2025-01-01", "A", "s"), ("b", "2025-03-01", "B", "s"), ("c", "", "C", "s"), ("d", "2026-01-01", "D", "s"), (None, "2025-03-01", "E", "s"), ("k", "2025-02-13", "K", "s")]
     new = [("d", "D2", "s"), ("e", "E", "s"), ("e", "E", "s"), ("", "F", "s")]
-    got = ranking.update_history(spark.createDataFrame(old, "id string, date string, title string, source string"), spark.createDataFrame(new, "id string, title string, source string"), "2025-03-15", 30)
-    assert sorted(map(tuple, got.collect())) == [("b", "2025-03-01", "B", "s"), ("d", "2025-03-15", "D", "s"), ("e", "2025-03-15", "E", "s"), ("k", "2025-02-13", "K", "s")]
+    old = [(i, *r) for i, r in enumerate(old)]
+    new = [(100 + i, r[0], None, None, *r[1:]) for i, r in enumerate(new)] + [(200, "", " 10.1/x ", "u", "G", "s"), (201, None, "", "https://x.example/h", "H", None), (202, " b ", None, None, "B2", "s")]
+    got = ranking.update_history(spark.createDataFrame(old, "entry_id long, id string, date string, title string, source string"), spark.createDataFrame(new, "entry_id long, id string, doi string, url string, title string, source string"), "2025-03-15", 30)
+    assert sorted(map(tuple, got.collect())) == [
+        ("10.1/x", "2025-03-15", "G", "s"), ("b", "2025-03-01", "B", "s"), ("d", "2025-03-15", "D", "s"), ("e", "2025-03-15", "E", "s"), ("https://x.example/h", "2025-03-15", "H", ""), ("k", "2025-02-13", "K", "s"),
+    ]
+
+
+def test_prefilter_and_admission(spark):
+    rules = matching.Rules(keywords=("seed dormancy",), boosts=("mice",))
+    rows = [(1, "pubmed", "Seed dormancies", None), (2, "pubmed", "x", "work on mice"), (3, "pubmed", "x", "y"), (4, "biorxiv", "x", "y"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, source string, title string, abstract string")
+    assert sorted(r["i"] for r in matching.semi(df, rules).collect()) == [1, 2, 4, 5]
+    assert matching.semi(df, matching.Rules()).count() == 5
+    stats = [("taste", 1, 1, 0, 0), ("seed", 1, 0, 0, 1), ("root", 3, 0, 0, 0), ("kelp bed", 1, 0, 1, 0), ("kelp sea", 1, 0, 0, 1), ("gene x", 2, 0, 0, 0), ("mice", 2, 1, 0, 0)]
+    got = profile.score_terms(spark.createDataFrame(stats, "term string, docs long, title_docs long, abstract_docs long, keyword_docs long"), blacklist=("mice",))
+    assert {r["term"]: r["score"] for r in got.collect()} == {"taste": 5.0, "kelp bed": 4.5}
+
+
+def test_firsts_and_best_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(3, "a", 1), (1, "a", 1), (2, "b", None), (4, None, 5), (5, "b", 0)], "i long, k string, w int")
+    assert sorted(r["i"] for r in ranking.first_of_each(df, [F.col("k")], "i").collect()) == [1, 2, 4]
+    assert sorted((r["k"], r["i"]) for r in merging.best(df, "k", F.col("w"), F.col("i")).collect()) == [("a", 1), ("b", 2)]
+    assert merging.best(df.limit(0), "k", F.col("w"), F.col("i")).count() == 0
 
 
 def test_evidence(spark):
@@ -134,8 +156,9 @@ def test_library(spark):
 def test_lines(spark):
     df = spark.createDataFrame([(1, "x\nIntro\na\nb\nEnd\nc"), (2, None), (3, "")], "r int, t string")
     exploded = lines.explode_lines(df, "r", "t")
-    got = lines.blocks(exploded, "r", F.col("line").rlike("^[A-Z]"))
-    assert [(r["line"], r["block"]) for r in got.where("r = 1").orderBy("line_no").collect()] == [("x", 0), ("Intro", 1), ("a", 1), ("b", 1), ("End", 2), ("c", 2)]
+    got = lines.blocks(df.unionByName(spark.createDataFrame([(4, "Intro\n\nEnd\n"), (5, "End\nEnd")], "r int, t string")), "r", "t", "[A-Z][a-z]*")
+    have = {(r["r"], r["block"]): r["lines"] for r in got.collect()}
+    assert have == {(1, 0): ["x"], (1, 1): ["Intro", "a", "b"], (1, 2): ["End", "c"], (3, 0): [""], (4, 1): ["Intro", ""], (4, 2): ["End", ""], (5, 1): ["End"], (5, 2): ["End"]}
     runs = lines.islands(exploded, "r", F.length("line") == 1).where("r = 1").orderBy("first").collect()
     assert [(r["first"], r["last"], r["n"]) for r in runs] == [(1, 1, 1), (3, 4, 2), (6, 6, 1)]
     assert spark.createDataFrame([("Title Abstract: the text Keywords: a",)], "t string").select(lines.between(F.col("t"), "abstract:", "keywords:")).first()[0] == "the text"
@@ -205,3 +228,18 @@ def test_status():
     for wrong in ((ok, "2025-03-22", 3, 0, "r1"), (ok, "2025-03-21", 3, 1, "r1"), (sinks.status("r1", "2025-03-21", 3, 5, 1), "2025-03-21", 3, 5, "r1")):
         with pytest.raises(RuntimeError):
             sinks.require_ready(*wrong)
+
+
+def test_repeated_leaves_are_kept_and_groups_derived(spark):
+    one = "<R><L><A><N>x</N><F>1</F><F>2</F></A><A><N>y</N></A></L><K>k</K></R>"
+    rows = [(1, one), (2, "<R><L><A><N>z</N></A></L><K>a</K><K>b</K></R>"), (3, None), (4, "<R"), (5, "")]
+    df = spark.createDataFrame(rows, "id long, payload string").withColumn("child", F.lit("clash"))
+    groups = nested.derived_groups(df, "id", "payload")
+    assert [(g.name, g.path, g.within) for g in groups] == [("K", "R/K", None), ("A", "R/L/A", None), ("F", "R/L/A/F", "A")] or sorted((g.name, g.path, g.within) for g in groups) == [("A", "R/L/A", None), ("F", "R/L/A/F", "A"), ("K", "R/K", None)]
+    got = sorted((r["parent_id"], r["child"], r["pos"], r["sub_pos"], r["leaves"]["."]) for r in nested.xml_children(df, "id", "payload", groups).collect())
+    assert [g for g in got if g[1] == "F"] == [(1, "F", 1, 1, "1"), (1, "F", 1, 2, "2")]
+    assert [g[4] for g in got if g[1] == "K"] == ["k", "a", "b"] and [g[4] for g in got if g[1] == "A"] == ["x12", "y", "z"]
+    own = (nested.Group("a", "R/L/A", (("F", "f"),)),)
+    kept = nested.xml_children(df, "id", "payload", own).where("parent_id = 1 and pos = 1").first()["leaves"]
+    assert kept == {"F": "1", "F#2": "2"}
+    assert nested.derived_groups(df.limit(0), "id", "payload") == ()

@@ -18,7 +18,14 @@ def test_doi_from_address(spark, value, want):
     assert one(spark, records.doi_from_address("v"), v=value) == want
 
 
-@pytest.mark.parametrize("value, want", [("doi:10.1234/x", "doi"), ("https://x.example/a.pdf?x", "pdf_url"), ("https://www.biorxiv.org/content/1", "preprint"), ("https://pmc.example.org/articles/1", "pmc"), ("https://x.example", "web"), ("a b.PDF", "pdf_file"), ("PMC12", "pmc"), ("PMID: 1234567", "pmid"), ("", "unknown"), (None, "unknown")])
+@pytest.mark.parametrize(
+    "value, want",
+    [
+        ("10.1234/x", "doi"), ("https://doi.org/10.1234/x", "doi"), ("https://x.example/doi/full/10.1234/x", "doi"), ("https://x.example/a.pdf", "pdf_url"), ("https://x.example/a.pdf?x", "web_url"),
+        ("https://pubmed.ncbi.nlm.nih.gov/1/", "pubmed_url"), ("https://pmc.ncbi.nlm.nih.gov/articles/PMC1/", "pmc_url"), ("https://www.nature.com/doi/10.1234/x", "web_url"), ("https://x.example", "web_url"),
+        ("a b.PDF", "local_pdf"), (".pdf", "web_url"), ("PMC12", "web_url"), ("", "web_url"), (None, "web_url"),
+    ],
+)
 def test_source_kind(spark, value, want):
     assert one(spark, records.source_kind("v"), v=value) == want
 
@@ -46,10 +53,10 @@ def test_scalars_and_dois(spark):
 
 
 def test_figures(spark):
-    kind = "items array<struct<src: string, href: string, caption: string, alt: string>>"
-    items = [("https://i.example/fig1.jpg", None, "c", None), ("https://i.example/fig2.png", None, "", "Figure 1. x"), (None, "logo.png", None, None), ("x", None, "c", "d")]
+    kind = "items array<struct<src: string, href: string, caption: string, alt: string, source: string>>"
+    items = [("https://i.example/fig1.jpg", None, "c", None, "figure"), ("https://i.example/fig2.png", None, "", "Figure 1. x", None), (None, "logo.png", None, None, "web"), ("x", None, "c", "d", None)]
     df = spark.createDataFrame([(items,), (None,), ([],)], kind)
-    assert [r[0] for r in df.select(F.transform("items", records.figure_points)).collect()][0] == [220, 0, -200, 0]
+    assert [r[0] for r in df.select(F.transform("items", records.figure_points)).collect()][0] == [240, 0, -200, 0]
     assert [r[0] for r in df.select(records.takeaways(F.col("items"))).collect()] == [["c", "Figure 1. x"], [], []]
 
 
