@@ -111,8 +111,8 @@ TREES, LEVELS, BITS = 8, 3, 20
 HEAD = 24
 #: Share of damaged copies of the batch's own titles that the prefixes have to find, and how many are tried.
 RECALL, TRIED = 0.99, 2000
-#: A batch of at most so many classes is broadcast, as prefixes, to filter older runs in their scan (64 MB at most); larger ones are sorted in.
-MOST_BROADCAST = 1_000_000
+#: Prefixes of at most so many classes of a batch, and so many candidate pairs, are broadcast to filter older runs in their scan (some 30 MB); of more, the runs are joined by shuffle.
+MOST_BROADCAST = 50_000
 
 
 def _constants(label: bytes, n: int) -> np.ndarray:
@@ -361,10 +361,10 @@ def same_work() -> F.Column:
     return names & (whole | (shorter & kind & _same_genes() & (start >= 0) & (start <= allowed)))
 
 
-def verified(candidates: DataFrame, of: DataFrame) -> DataFrame:
-    """The candidate pairs whose whole titles agree."""
+def verified(candidates: DataFrame, of: DataFrame, few: bool = False) -> DataFrame:
+    """The candidate pairs whose whole titles agree; ``few`` candidates are broadcast to pick their classes in the scan."""
     touched = candidates.select(F.col("a").alias("class_id")).unionByName(candidates.select(F.col("b").alias("class_id"))).distinct()
-    own = of.join(touched, "class_id", "left_semi")
+    own = of.join(F.broadcast(touched) if few else touched, "class_id", "left_semi")
     named = lambda p: own.select(*[F.col(c).alias(f"{p}_{c}") for c in ("class_id", "surname", "guard", "letters", "cut_off")])
     # Either of two cut-off titles, or the only one, takes the part of the shorter.
     both = candidates.select(F.col("a").alias("a_class_id"), F.col("b").alias("b_class_id")).join(named("a"), "a_class_id").join(named("b"), "b_class_id")
@@ -429,8 +429,8 @@ NAMES = ("entry_id", "id", "pmid", "doi", "title", "authors")
 class HistoryIndex:
     """All that was accepted, kept as runs under a shared folder, so that a batch is compared without preparing or linking the history again.
 
-    A run holds the batch's prepared entries, its classes, its permutations sorted by key, and the stars found (an
-    entry and the first of its work). A batch reads of the older runs the narrow keys only: identifiers by equality,
+    A run holds the batch's prepared entries, its classes, its permutations as files sorted by key, and the stars found
+    (an entry and the first of its work). A batch reads of the older runs the narrow keys only: identifiers by equality,
     permutations by the ranges that the batch's prefixes open, and titles of the candidates found there. Entries of
     the batch link to the firsts of older works, so older links are looked up, not joined again. ``compact`` merges
     the runs into one.
@@ -460,7 +460,7 @@ class HistoryIndex:
         run, self.runs = self.runs, self.runs + 1
         entries = self._write(prepare(batch.select(*NAMES)), "entries", run)
         of = self._write(classes(entries), "classes", run)
-        forest = self._write(tree_rows(of).repartitionByRange("key").sortWithinPartitions("key"), "forest", run)
+        forest = self._write(tree_rows(of).sortWithinPartitions("key"), "forest", run)
         return run, entries, of, forest
 
     def seed(self, history: DataFrame) -> None:
@@ -482,7 +482,7 @@ class HistoryIndex:
                 old = old.join(F.broadcast(open_ranges), prefix(old) == open_ranges["__p"], "left_semi")
         candidates = cut(range_search(old, forest, self.level), "candidates")
         every = self._read("classes").drop("run") if run else of
-        pairs = cut(verified(candidates, every), "pairs")
+        pairs = cut(verified(candidates, every, candidates.count() <= MOST_BROADCAST), "pairs")
         before = self._read("entries", run) if run else None
         links = identifier_links(entries, before).unionByName(member_links(entries, of, pairs))
         found = components(self._rooted(links, run))
