@@ -50,10 +50,21 @@ def rank_terms(scored: DataFrame) -> list:
 
 
 def diverse_terms(scored: DataFrame, limit: int = 30, pool: int = 400) -> DataFrame:
-    """The best terms, none a part or near copy of another: greedy over the ``pool`` best, as one fold over an array.
+    """The best terms, none a part or near copy of another: greedy in their order, as one fold over an array.
 
-    A term is left out if its stems are those of a term before it, or contain or are contained in them.
+    A term is left out if its stems are those of a term before it, or contain or are contained in them. The fold runs
+    over the ``pool`` best; if these give fewer than ``limit``, over four times as many, until all have been seen, so
+    that the choice is that over all terms.
     """
+    while True:
+        got = _diverse(scored, limit, pool)
+        found = got.agg(F.max("rank").alias("n"), F.max("seen").alias("seen")).first()
+        if (found["n"] or 0) >= limit or (found["seen"] or 0) < pool:
+            return got.drop("seen")
+        pool *= 4
+
+
+def _diverse(scored: DataFrame, limit: int, pool: int) -> DataFrame:
     best = scored.orderBy(*rank_terms(scored)).limit(pool)
     order = best.select(F.struct((-F.col("score")).alias("a"), (-F.col("docs")).alias("b"), (-F.col("title_docs")).alias("c"), (-F.col("abstract_docs")).alias("d"), "term", "score", "docs").alias("__s"))
     stems = lambda t: F.array_distinct(F.transform(F.split(t, " "), profile_stem))
@@ -66,7 +77,8 @@ def diverse_terms(scored: DataFrame, limit: int = 30, pool: int = 400) -> DataFr
             (F.size(got) >= limit) | F.exists(got, lambda g: (F.size(F.array_except(g["stems"], t["stems"])) == 0) | (F.size(F.array_except(t["stems"], g["stems"])) == 0)), got
         ).otherwise(F.concat(got, F.array(t))),
     )
-    return keyed.select(F.posexplode(kept).alias("__p", "t")).select((F.col("__p") + 1).alias("rank"), F.col("t.term").alias("term"), F.col("t.score").alias("score"), F.col("t.docs").alias("docs"))
+    t = keyed.select(F.size("__all").alias("seen"), F.posexplode(kept).alias("__p", "t"))
+    return t.select((F.col("__p") + 1).alias("rank"), F.col("t.term").alias("term"), F.col("t.score").alias("score"), F.col("t.docs").alias("docs"), "seen")
 
 
 def frequent_names(rows: DataFrame, key: str, text: str, title: str, stop: Sequence[str] = (), most: int = 15, first: int = 40) -> DataFrame:
@@ -75,6 +87,7 @@ def frequent_names(rows: DataFrame, key: str, text: str, title: str, stop: Seque
     Four families of patterns count one after the other, so a name of two families counts twice; words of the title
     and of ``stop`` are none.
     """
+    #: The four families of names.
     families = (r"(?U)\b([A-Z][a-z]+(?:[A-Z][a-z]*)+(?:V?\d+)?)\b", r"(?U)\b([A-Z]{2,}(?:[-_]\d+)?)\b", r"(?U)\b([A-Z][a-z]+[A-Z][a-z]*\d+[a-z]?)\b", r"(?U)\b([A-Z][a-z]+-[A-Z][a-z]+(?:-[A-Z][a-z]+)?)\b")
     t = F.coalesce(F.col(text), F.lit(""))
     names = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in families])

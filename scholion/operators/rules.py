@@ -35,12 +35,16 @@ def categories(rows: DataFrame, key: str, tags: str, title: str, rules: Sequence
 
 
 def prefix_join(rows: DataFrame, key: str, text_col: str, prefixes: DataFrame, prefix_col: str, least: int = 12) -> DataFrame:
-    """(key, prefix) of the rows that start with a prefix of at least ``least`` characters.
+    """(key, prefix) of the rows that start with a prefix; an empty prefix starts nothing.
 
-    Joined by equality of the first ``least`` characters and then tested; the prefixes that share them are few.
+    Prefixes of ``least`` characters and more are joined by equality of their first ``least`` and then tested; shorter
+    ones are joined by equality of as many characters as they have, one length after the other.
     """
-    a = rows.select(F.col(key), F.col(text_col).alias("__t")).where(F.length("__t") >= least).withColumn("__h", F.substring("__t", 1, least))
-    b = prefixes.select(F.col(prefix_col)).where(F.length(prefix_col) >= least).distinct().withColumn("__h", F.substring(prefix_col, 1, least))
+    # The lengths that occur, at most ``least`` numbers.
+    sizes = sorted(r[0] for r in prefixes.select(F.least(F.length(prefix_col), F.lit(least)).alias("n")).where("n > 0").distinct().collect())
+    heads = F.array(*[F.when(F.length("__t") >= n, F.substring("__t", 1, n)) for n in sizes]) if sizes else F.array().cast("array<string>")
+    a = rows.select(F.col(key), F.col(text_col).alias("__t")).withColumn("__h", F.explode(heads)).where("__h is not null")
+    b = prefixes.select(F.col(prefix_col)).where(F.length(prefix_col) >= 1).distinct().withColumn("__h", F.substring(prefix_col, 1, least))
     return a.join(b, "__h").where(F.col("__t").startswith(F.col(prefix_col))).select(key, prefix_col)
 
 

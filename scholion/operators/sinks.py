@@ -10,20 +10,8 @@ from pyspark.sql import functions as F
 from scholion.functions.text import clean_title, excerpt, text, unique_ci
 
 
-def audit(rejected: dict[str, DataFrame], details: dict[str, Column] | None = None) -> DataFrame:
-    """One long table of rejected rows: bucket, entry_id, title, source, date, detail."""
-    out = None
-    for bucket, rows in rejected.items():
-        detail = (details or {}).get(bucket, F.lit(""))
-        part = rows.select(F.lit(bucket).alias("bucket"), "entry_id", text("title").alias("title"), text("source").alias("source"), text("date").alias("date"), detail.cast("string").alias("detail"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no bucket")
-    return out
-
-
 def audit_column(rows: DataFrame, bucket: Column, detail: Column) -> DataFrame:
-    """The same table from one pass over rows whose bucket is an expression; rows without a bucket were kept."""
+    """One long table of rejected rows (bucket, entry_id, title, source, date, detail) from one pass over rows whose bucket is an expression; rows without a bucket were kept."""
     t = rows.withColumn("bucket", bucket).where("bucket is not null")
     return t.select("bucket", "entry_id", text("title").alias("title"), text("source").alias("source"), text("date").alias("date"), detail.cast("string").alias("detail"))
 

@@ -10,7 +10,9 @@ import json
 import os
 import time
 from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,6 +32,80 @@ def retried(call: Callable[[], object], tries: int = 3, wait: float = 0.0, stop:
     raise AssertionError("unreachable")
 
 
+def fetched(call: Callable[[], object], tries: int = 3, wait: float = 0.0) -> tuple[object, str]:
+    """What ``call`` gives and how it went: ok, missing, json (not readable as such), timeout or error; failures give None and are never raised."""
+    try:
+        return retried(call, tries, wait, (FileNotFoundError, json.JSONDecodeError)), "ok"
+    except FileNotFoundError:
+        return None, "missing"
+    except json.JSONDecodeError:
+        return None, "json"
+    except TimeoutError:
+        return None, "timeout"
+    except Exception:
+        return None, "error"
+
+
+def budget(a_day: int, days: int, cap: int) -> int:
+    """Rows a source may give: so many a day, at most the cap if there is one."""
+    most = max(0, a_day) * max(1, days)
+    return min(most, cap) if cap > 0 else most
+
+
+def fetch_batches(ids: DataFrame, fetch: Callable[[list[str]], list[tuple[str, str]]], size: int = 100, id_col: str = "id") -> DataFrame:
+    """``id, item, kind``: records fetched in batches of ``size`` ids inside the tasks.
+
+    A batch that fails is split in two, again and again, so that one bad record costs no other; an id that fails alone
+    has a null item and its kind of error, one that the source does not know is ``missing``. Null ids are left out.
+    """
+
+    def load(batch: list[str]) -> list[tuple[str, str | None, str]]:
+        got, kind = fetched(lambda: dict(fetch(batch)), tries=1)
+        if kind == "ok":
+            return [(i, got.get(i), "ok" if i in got else "missing") for i in batch]
+        if len(batch) == 1:
+            return [(batch[0], None, kind)]
+        half = len(batch) // 2
+        return load(batch[:half]) + load(batch[half:])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(0).to_pylist()
+            for at in range(0, len(every), size):
+                rows = load(every[at : at + size])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["id", "item", "kind"])
+
+    return ids.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct().mapInArrow(scan, "id string, item string, kind string")
+
+
+def read_windows(spark: SparkSession, windows: list, fetch: Callable[[str, str], list[tuple[str, str]]]) -> DataFrame:
+    """``id, item, start, kind``: windows of days fetched one to a task; one that fails is fetched day by day, and days that fail leave a row with their kind of error. Of equal ids the first day's counts."""
+    from scholion.operators.dates import Window
+
+    parts = [(str(w.start), str(w.end)) for w in windows]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for start, end in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got, kind = fetched(lambda: fetch(start, end), tries=1)  # noqa: B023
+                if kind == "ok":
+                    out += [(i, item, start, "ok") for i, item in got]
+                    continue
+                day = date.fromisoformat(start)
+                while day <= date.fromisoformat(end):
+                    got, kind = fetched(lambda: fetch(str(day), str(day)), tries=2)  # noqa: B023
+                    out += [(i, item, str(day), "ok") for i, item in got] if kind == "ok" else [(None, None, str(day), kind)]
+                    day += timedelta(days=1)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(4)], names=["id", "item", "start", "kind"])
+
+    assert all(isinstance(w, Window) for w in windows)
+    t = spark.createDataFrame(parts or [("", "")], "start string, end string").where("start <> ''").repartition(max(1, len(parts)))
+    rows = t.mapInArrow(scan, "id string, item string, start string, kind string")
+    # Of equal ids one row stays; failures have no id and all stay.
+    return rows.where("id is not null").groupBy("id").agg(F.min_by(F.struct("item", "start", "kind"), F.struct("start", "item")).alias("r")).select("id", "r.*").unionByName(rows.where("id is null"))
+
+
 class FolderClient:
     """Pages saved as ``<start>.json``, each an object with ``total`` and ``items``."""
 

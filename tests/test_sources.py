@@ -114,3 +114,37 @@ def test_incremental_run(spark, tmp_path):
     sessions = []
     incremental.run_batches(incremental.sessions(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), "at", "journal"), lambda df, n: sessions.append(df.count()), str(tmp_path / "ck3"))
     assert sessions
+
+
+def test_batches_are_split_around_bad_records(spark):
+    def fetch(ids):
+        if "13" in ids:
+            raise ValueError("bad")
+        return [(i, f"item {i}") for i in ids if i != "7"]
+
+    ids = spark.createDataFrame([(str(i),) for i in range(40)] + [(None,), ("1",)], "id string").repartition(3)
+    got = {r["id"]: (r["item"], r["kind"]) for r in paged.fetch_batches(ids, fetch, size=8).collect()}
+    assert len(got) == 40 and got["13"] == (None, "error") and got["7"] == (None, "missing") and got["12"] == ("item 12", "ok")
+    assert paged.fetch_batches(ids.limit(0), fetch).count() == 0
+
+
+def test_windows_recover_day_by_day(spark):
+    def fetch(start, end):
+        if start != end or start == "2025-01-03":
+            raise TimeoutError
+        return [("x", start), (f"p{start[-1]}", "i")]
+
+    from scholion.operators.dates import window_between
+
+    rows = paged.read_windows(spark, [window_between("2025-01-01", "2025-01-04"), window_between("2025-01-06", "2025-01-06")], fetch).collect()
+    assert sorted((r["id"] or "", r["start"], r["kind"]) for r in rows) == [("", "2025-01-03", "timeout"), ("p1", "2025-01-01", "ok"), ("p2", "2025-01-02", "ok"), ("p4", "2025-01-04", "ok"), ("p6", "2025-01-06", "ok"), ("x", "2025-01-01", "ok")]
+    assert paged.read_windows(spark, [], fetch).count() == 0
+
+
+def test_kinds_and_budgets():
+    def broken():
+        raise OSError
+
+    assert paged.fetched(lambda: 1) == (1, "ok") and paged.fetched(lambda: open("/nowhere/x")) == (None, "missing") and paged.fetched(broken, tries=1) == (None, "error")
+    assert paged.fetched(lambda: json.loads("{"))[1] == "json"
+    assert [paged.budget(*a) for a in ((300, 1, 3000), (300, 30, 3000), (300, 30, 0), (0, 5, 10))] == [300, 3000, 9000, 0]
