@@ -214,11 +214,9 @@ def test_sinks(spark, tmp_path):
     assert line.split("\n") == ["### 1. T", "- score: 5", "- keywords: k, b", "- links: [page](u)", "> A sentence. More."]
     sinks.write_report(sinks.report_lines(df, "g"), "g", str(tmp_path / "r"))
     assert (tmp_path / "r" / "g=g").exists()
-    table = sinks.audit({"low": df, "none": df.limit(0)}, {"low": F.col("points")})
-    sinks.write_audit(table, str(tmp_path / "a"))
-    assert spark.read.parquet(str(tmp_path / "a")).count() == 1
-    with pytest.raises(ValueError):
-        sinks.audit({})
+    bucket = F.when(F.col("points") > 3, "low")
+    sinks.write_audit(sinks.audit_column(df.unionByName(df.withColumn("points", F.lit(1))), bucket, F.col("points")), str(tmp_path / "a"))
+    assert [(r["bucket"], r["detail"]) for r in spark.read.parquet(str(tmp_path / "a")).collect()] == [("low", "5")]
 
 
 def test_status():
