@@ -131,18 +131,27 @@ def semi(papers: DataFrame, rules: Rules, index_source: str = "pubmed") -> DataF
     return papers.where((F.lower(text("source")) != index_source) | hit)
 
 
-def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phrase_col: str, sizes: Sequence[int] | None = None) -> DataFrame:
-    """(id, phrase) for every phrase of a table that a text contains, whatever the number of phrases.
+#: Phrases of at most so many bytes in memory are broadcast to the scan of the texts; of more, texts and phrases are joined by shuffle.
+MOST_BROADCAST = 16 << 20
+
+
+def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phrase_col: str, sizes: Sequence[int] | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(id, phrase) for every phrase of a table that a text contains, once for each row of ``texts``, whatever the number of phrases.
 
     N-grams of the texts are joined with the phrases by equality, so the cost grows with the texts and not with
-    texts times phrases. Without ``sizes`` the runs are those that the phrases have.
+    texts times phrases. Without ``sizes`` the runs are those that the phrases have. The n-grams are many times the
+    texts, which the planner does not know: they are never broadcast, and only shuffled where the phrases, whose bytes
+    are counted first, are too many to be broadcast.
     """
     from scholion.functions.text import ngrams
 
     keyed = phrases.select(F.col(phrase_col), F.trim(token_text(phrase_col)).alias("__gram")).where("__gram <> ''").distinct()
+    held = F.octet_length(text(phrase_col)) + F.octet_length("__gram") + 100  # a row's own bytes in the hash table
+    by_size = keyed.groupBy(F.size(F.split("__gram", " ")).alias("n")).agg(F.sum(held).alias("bytes")).collect()
     if sizes is None:
-        sizes = sorted(r[0] for r in keyed.select(F.size(F.split("__gram", " "))).distinct().collect())
+        sizes = sorted(r["n"] for r in by_size)
     if not sizes:
         return texts.select(F.col(id_col), F.lit(None).cast("string").alias(phrase_col)).where("false")
     grams = texts.select(F.col(id_col), F.explode(ngrams(norm_tokens(text_col), sizes)).alias("__gram"))
-    return grams.join(keyed, "__gram").select(id_col, phrase_col).distinct()
+    few = sum(r["bytes"] for r in by_size) <= most_broadcast
+    return grams.join(F.broadcast(keyed) if few else keyed.hint("merge"), "__gram").select(id_col, phrase_col)

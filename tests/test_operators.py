@@ -71,6 +71,17 @@ def test_phrase_pairs_equal_the_cross_test(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "bitter taste"), (1, "mice"), (1, "of"), (3, "mice")]
 
 
+@pytest.mark.parametrize("most_broadcast", [matching.MOST_BROADCAST, 0])
+def test_phrase_pairs_never_broadcast_the_runs_of_the_texts(spark, tmp_path, most_broadcast):
+    # The table of phrases is the larger file, so that sizes of files speak for the texts; two rows share an id.
+    spark.createDataFrame([(i // 2, f"Bitter tastes of mice, of w{i} v{i}") for i in range(40)], "id int, t string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(f"W{i} v{i}", f"{i * 7919:x}" * 40) for i in range(3000)] + [("mice", ""), ("of mice", ""), ("Mice!", "")], "p string, more string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    df = matching.pairs(spark.read.parquet(f"{tmp_path}/t"), "id", "t", spark.read.parquet(f"{tmp_path}/p"), "p", most_broadcast=most_broadcast)
+    assert sorted(map(tuple, df.collect())) == sorted((i // 2, p) for i in range(40) for p in ("mice", "of mice", "Mice!", f"W{i} v{i}"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most_broadcast > 0) and ("SortMergeJoin" in plan) == (most_broadcast == 0)
+
+
 @pytest.mark.parametrize("scores", [[], [5], [1], [5, 5], [5, 1, 5], [9, 8, 7, 3, 2, 1, 1, 1, 1, 1], [1] * 7, list(range(30, 0, -1))])
 def test_buckets(spark, scores):
     n = len(scores)
