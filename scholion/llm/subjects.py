@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.session import cut
@@ -155,11 +157,20 @@ def _steps(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Sentences]]:
         yield part, Sentences(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
+@contextmanager
+def _lent(spark: SparkSession, value: Model | None) -> Iterator[Broadcast]:
+    """``value`` broadcast for the jobs of the block: the driver and every executor keep a copy on disk until it is destroyed."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 def _counts(rows: DataFrame, subjects: list[int], model: Model | None, buckets: int) -> np.ndarray:
     """Expected counts of features by subject over all rows (words, starts, s); at most ``buckets`` rows reach the driver."""
     k = len(subjects)
     at = {s: i for i, s in enumerate(subjects)}
-    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -186,7 +197,8 @@ def _counts(rows: DataFrame, subjects: list[int], model: Model | None, buckets:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(total[i, used]) for i in range(k)]], names=["bucket", *[f"c{i}" for i in range(k)]])
 
     schema = "bucket int, " + ", ".join(f"c{i} double" for i in range(k))
-    summed = rows.select("words", "starts", "s").mapInArrow(scan, schema).groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toPandas()
+    with _lent(rows.sparkSession, model) as shared:
+        summed = rows.select("words", "starts", "s").mapInArrow(scan, schema).groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toPandas()
     out = np.zeros((buckets, k))
     if len(summed):
         out[summed["bucket"].to_numpy()] = summed[[f"c{i}" for i in range(k)]].to_numpy()
@@ -236,14 +248,14 @@ def _shares(own: Model, part: pa.RecordBatch, x: Sentences) -> np.ndarray:
 
 def calibrate(labelled: DataFrame, model: Model, start: tuple[float, float] = (40.0, 0.21), strength: float = 8.0) -> np.ndarray:
     """Slope and offset of each subject's logistic curve, drawn towards a common start where labels are few."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, x in _steps(b):
                 yield pa.RecordBatch.from_arrays([pa.array(_shares(shared.value, part, x).tolist(), pa.list_(pa.float64())), part.column(2)], names=["share", "s"])
 
-    got = labelled.where("kept").select("words", "starts", "s").mapInArrow(scan, "share array<double>, s array<int>").toPandas()  # bounded by most_labelled
+    with _lent(labelled.sparkSession, model) as shared:
+        got = labelled.where("kept").select("words", "starts", "s").mapInArrow(scan, "share array<double>, s array<int>").toPandas()  # bounded by most_labelled
     k = len(model.subjects)
     share = np.array(got["share"].tolist()).reshape(-1, k)
     truth = np.array([[s in set(x) for s in model.subjects] for x in got["s"]], dtype=float).reshape(-1, k)

@@ -1,4 +1,6 @@
+import pickle
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -96,6 +98,20 @@ def test_a_batch_gives_what_its_documents_give_alone():
         assert abs(share.sum() - 1) < 1e-5
 
 
+def test_models_of_past_rounds_leave_the_disk(spark):
+    def held():
+        return sum(p.stat().st_size for p in Path(spark.sparkContext._temp_dir).rglob("*") if p.is_file())
+
+    docs, truth = corpus(60)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s) for i in range(0, 60, 2) for s in truth[i]], "doc_id long, subject_id int")
+    before = held()
+    found = find_subjects(d, labels, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "subject_id int, subject string"))
+    # Only the model that the result is still to be read with stays.
+    assert held() - before < 1.5 * len(pickle.dumps(Model(np.zeros((1 << 17, 3)), [1, 2, 3])))
+    assert {r["doc_id"] for r in found.collect()} == set(range(60))
+
+
 def test_subjects_beyond_the_bound_are_refused(spark):
     d = spark.createDataFrame([(1, "A text about something.")], "doc_id long, text string")
     s = spark.createDataFrame([(i, "a") for i in range(5)], "subject_id int, subject string")
