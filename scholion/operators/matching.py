@@ -133,6 +133,21 @@ def semi(papers: DataFrame, rules: Rules, index_source: str = "pubmed") -> DataF
 
 #: Phrases of at most so many bytes in memory are broadcast to the scan of the texts; of more, texts and phrases are joined by shuffle.
 MOST_BROADCAST = 16 << 20
+#: Bits of the table that filters n-grams before a shuffle, at most (8 MB).
+MOST_BITS = 1 << 26
+
+
+def _possible(grams: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
+    """The n-grams whose hash one of the ``n`` phrases has, by a broadcast table of bits: all that match, and few others."""
+    bits = min(MOST_BITS, 1 << max(10, (32 * n).bit_length()))
+    place = F.pmod(F.xxhash64("__gram"), F.lit(bits)).cast("int")
+    words = keyed.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, p & 63))").alias("b")).collect()  # at most MOST_BITS / 64
+    table = [0] * (bits // 64)
+    for w, b in words:
+        table[w] = b
+    marks = F.broadcast(grams.sparkSession.createDataFrame([(table,)], "__bits array<long>"))
+    hit = F.expr("getbit(get(__bits, shiftright(__place, 6)), __place & 63) = 1")
+    return grams.withColumn("__place", place).join(marks, hit).drop("__place", "__bits")
 
 
 def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phrase_col: str, sizes: Sequence[int] | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -141,17 +156,20 @@ def pairs(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phra
     N-grams of the texts are joined with the phrases by equality, so the cost grows with the texts and not with
     texts times phrases. Without ``sizes`` the runs are those that the phrases have. The n-grams are many times the
     texts, which the planner does not know: they are never broadcast, and only shuffled where the phrases, whose bytes
-    are counted first, are too many to be broadcast.
+    are counted first, are too many to be broadcast; then those go first that have the hash of no phrase.
     """
     from scholion.functions.text import ngrams
 
     keyed = phrases.select(F.col(phrase_col), F.trim(token_text(phrase_col)).alias("__gram")).where("__gram <> ''").distinct()
     held = F.octet_length(text(phrase_col)) + F.octet_length("__gram") + 100  # a row's own bytes in the hash table
-    by_size = keyed.groupBy(F.size(F.split("__gram", " ")).alias("n")).agg(F.sum(held).alias("bytes")).collect()
+    by_size = keyed.groupBy(F.size(F.split("__gram", " ")).alias("n")).agg(F.sum(held).alias("bytes"), F.count("*").alias("phrases")).collect()
     if sizes is None:
         sizes = sorted(r["n"] for r in by_size)
     if not sizes:
         return texts.select(F.col(id_col), F.lit(None).cast("string").alias(phrase_col)).where("false")
     grams = texts.select(F.col(id_col), F.explode(ngrams(norm_tokens(text_col), sizes)).alias("__gram"))
-    few = sum(r["bytes"] for r in by_size) <= most_broadcast
-    return grams.join(F.broadcast(keyed) if few else keyed.hint("merge"), "__gram").select(id_col, phrase_col)
+    if sum(r["bytes"] for r in by_size) <= most_broadcast:
+        found = grams.join(F.broadcast(keyed), "__gram")
+    else:
+        found = _possible(grams, keyed, sum(r["phrases"] for r in by_size)).join(keyed.hint("merge"), "__gram")
+    return found.select(id_col, phrase_col)

@@ -79,7 +79,14 @@ def test_phrase_pairs_never_broadcast_the_runs_of_the_texts(spark, tmp_path, mos
     df = matching.pairs(spark.read.parquet(f"{tmp_path}/t"), "id", "t", spark.read.parquet(f"{tmp_path}/p"), "p", most_broadcast=most_broadcast)
     assert sorted(map(tuple, df.collect())) == sorted((i // 2, p) for i in range(40) for p in ("mice", "of mice", "Mice!", f"W{i} v{i}"))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most_broadcast > 0) and ("SortMergeJoin" in plan) == (most_broadcast == 0)
+    assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (most_broadcast > 0) and ("SortMergeJoin" in plan) == (most_broadcast == 0)
+
+
+def test_runs_without_the_hash_of_a_phrase_are_not_shuffled(spark):
+    grams = spark.createDataFrame([(i, f"w{i}") for i in range(2000)], "id int, __gram string")
+    keyed = spark.createDataFrame([(f"w{i}",) for i in range(0, 2000, 100)] + [(f"v{i}",) for i in range(200)], "__gram string")
+    kept = {r["id"] for r in matching._possible(grams, keyed, 220).collect()}
+    assert kept >= set(range(0, 2000, 100)) and len(kept) < 200
 
 
 @pytest.mark.parametrize("scores", [[], [5], [1], [5, 5], [5, 1, 5], [9, 8, 7, 3, 2, 1, 1, 1, 1, 1], [1] * 7, list(range(30, 0, -1))])
